@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import latest, table
+from .bpe import encode_corpus
+from .leaks import leaked_items
+from .pairs import pairs_above_chance
 from .topn import top_n_per_group
 
 
+TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five constraints of highest confidence per scope_dir and category."""
     rows = table(spark, sf_dir, "scope_constraints").select("constraint_id", "scope_dir", "category", "confidence", "recorded_at")
@@ -31,7 +39,65 @@ WITH r AS (
 SELECT constraint_id FROM k WHERE rank <= 5
 """
 
-_ALL = {"p3_found": (p3_found, P3_SQL)}
+def _clean_paths(column: str):
+    """Slashes for backslashes, no doubled slash, no leading ``./``; null elements go."""
+    path = lambda x: F.regexp_replace(F.regexp_replace(F.translate(x, "\\", "/"), "/+", "/"), r"^\./", "")
+    return F.array_distinct(F.transform(F.array_compact(column), path))
+
+
+def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actual = latest(table(spark, sf_dir, "observation_logs").select("commit_hash", "repo", "actual_files_modified", "recorded_at"), ["commit_hash"])
+    predicted = latest(table(spark, sf_dir, "session_logs").select("session_id", "repo", "predicted_files", "recorded_at"), ["session_id"])
+    return actual.select(F.lit("actual").alias("log_kind"), "repo", F.col("commit_hash").alias("record"), _clean_paths("actual_files_modified").alias("files")).unionByName(
+        predicted.select(F.lit("predicted").alias("log_kind"), "repo", F.col("session_id").alias("record"), _clean_paths("predicted_files").alias("files"))
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files that occur together often and much more often than chance, per log and repo."""
+    out = pairs_above_chance(_baskets(spark, sf_dir), ["log_kind", "repo"], "record", "files", 5, 3)
+    return out.select("log_kind", "repo", F.col("item_a").alias("file_a"), F.col("item_b").alias("file_b"))
+
+
+P6_SQL = """
+WITH o AS (
+  SELECT 'actual' AS log_kind, repo, commit_hash AS rec, actual_files_modified AS files, recorded_at FROM observation_logs
+  UNION ALL SELECT 'predicted', repo, session_id, predicted_files, recorded_at FROM session_logs
+), l AS (
+  SELECT * FROM o WHERE rec IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY log_kind, rec ORDER BY recorded_at DESC) = 1
+), f AS (
+  SELECT DISTINCT log_kind, repo, rec, regexp_replace(regexp_replace(replace(f, chr(92), '/'), '/+', '/', 'g'), '^[.]/', '') AS file
+  FROM (SELECT log_kind, repo, rec, unnest(files) AS f FROM l WHERE repo IS NOT NULL) WHERE f IS NOT NULL
+), n AS (SELECT log_kind, repo, count(DISTINCT rec) AS n FROM f GROUP BY ALL),
+c AS (SELECT log_kind, repo, file, count(*) AS n_f FROM f GROUP BY ALL),
+p AS (
+  SELECT a.log_kind, a.repo, a.file AS file_a, b.file AS file_b, count(*) AS n_ab
+  FROM f a JOIN f b ON a.log_kind = b.log_kind AND a.repo = b.repo AND a.rec = b.rec AND a.file < b.file GROUP BY ALL
+)
+SELECT p.log_kind, p.repo, p.file_a, p.file_b FROM p JOIN n USING (log_kind, repo)
+JOIN c a ON a.log_kind = p.log_kind AND a.repo = p.repo AND a.file = file_a
+JOIN c b ON b.log_kind = p.log_kind AND b.repo = p.repo AND b.file = file_b
+WHERE n_ab >= 5 AND n_ab * n.n >= 3 * a.n_f * b.n_f
+"""
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share ten or more consecutive words with an evaluation item."""
+    items = table(spark, sf_dir, "eval_items")
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text", run=10).select("doc_id", "item_id")
+
+
+_ALL = {
+    "p3_found": (p3_found, P3_SQL),
+    "p6_found": (p6_found, P6_SQL),
+    "p7_ids": (p7_ids, None),
+    "p8_found": (p8_found, None),
+}
 
 
 def queries() -> dict:
