@@ -11,12 +11,23 @@ from ..common import latest, table
 from .bpe import encode_corpus
 from .leaks import leaked_items
 from .pairs import pairs_above_chance
+from .syntax.faults import check_files, fault_rates
 from .topn import top_n_per_group
 
 
 TOKENIZERS = os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are not valid in the language of their extension."""
+    return check_files(table(spark, sf_dir, "file_analyses")).filter("valid = false").select("file_id")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate of invalid files per repo and language."""
+    return fault_rates(check_files(table(spark, sf_dir, "file_analyses")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five constraints of highest confidence per scope_dir and category."""
     rows = table(spark, sf_dir, "scope_constraints").select("constraint_id", "scope_dir", "category", "confidence", "recorded_at")
@@ -93,6 +104,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = {
+    "p2_found": (p2_found, None),
+    "p2_rates": (p2_rates, None),
     "p3_found": (p3_found, P3_SQL),
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
