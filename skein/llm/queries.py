@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..common import latest, table
 from .bpe import encode_corpus
 from .leaks import leaked_items
+from .mojibake import find_garbled
 from .pairs import pairs_above_chance
 from .syntax.faults import check_files, fault_rates
 from .topn import top_n_per_group
@@ -50,6 +51,20 @@ WITH r AS (
 SELECT constraint_id FROM k WHERE rank <= 5
 """
 
+def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "decoded_texts"), "text_id", "text", table(spark, sf_dir, "lang_samples"), "text")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that show characters from a wrong decoding."""
+    return _mended(spark, sf_dir).filter("garbled").select("text_id")
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected texts with what could be restored."""
+    return _mended(spark, sf_dir).filter("garbled").select("text_id", "restored", "complete")
+
+
 def _clean_paths(column: str):
     """Slashes for backslashes, no doubled slash, no leading ``./``; null elements go."""
     path = lambda x: F.regexp_replace(F.regexp_replace(F.translate(x, "\\", "/"), "/+", "/"), r"^\./", "")
@@ -107,6 +122,8 @@ _ALL = {
     "p2_found": (p2_found, None),
     "p2_rates": (p2_rates, None),
     "p3_found": (p3_found, P3_SQL),
+    "p5_found": (p5_found, None),
+    "p5_restored": (p5_restored, None),
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
     "p8_found": (p8_found, None),
