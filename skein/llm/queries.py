@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import latest, table
 from .bpe import encode_corpus
+from .langid import document_languages, language_segments, missing_languages
 from .leaks import leaked_items
 from .mojibake import find_garbled
 from .pairs import pairs_above_chance
@@ -118,6 +119,25 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text", run=10).select("doc_id", "item_id")
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "lang_samples"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages with a full sentence in a document that its label does not name."""
+    return missing_languages(table(spark, sf_dir, "documents"), _segments(spark, sf_dir), "doc_id", "lang")
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, with a confidence and a verdict on its label."""
+    return document_languages(table(spark, sf_dir, "documents"), _segments(spark, sf_dir), "doc_id", "lang")
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each stretch of prose."""
+    return _segments(spark, sf_dir)
+
+
 _ALL = {
     "p2_found": (p2_found, None),
     "p2_rates": (p2_rates, None),
@@ -127,6 +147,9 @@ _ALL = {
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
     "p8_found": (p8_found, None),
+    "p9_found": (p9_found, None),
+    "p9_documents": (p9_documents, None),
+    "p9_segments": (p9_segments, None),
 }
 
 
