@@ -13,6 +13,7 @@ from .langid import document_languages, language_segments, missing_languages
 from .leaks import leaked_items
 from .mojibake import find_garbled
 from .pairs import pairs_above_chance
+from .provenance import label_files
 from .syntax.faults import check_files, fault_rates
 from .topn import top_n_per_group
 
@@ -52,6 +53,16 @@ WITH r AS (
 SELECT constraint_id FROM k WHERE rank <= 5
 """
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that were not written by hand for their repository."""
+    return label_files(table(spark, sf_dir, "file_analyses")).filter("label <> 'handwritten'").select("file_id")
+
+
+def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of every file."""
+    return label_files(table(spark, sf_dir, "file_analyses"))
+
+
 def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "decoded_texts"), "text_id", "text", table(spark, sf_dir, "lang_samples"), "text")
 
@@ -142,6 +153,8 @@ _ALL = {
     "p2_found": (p2_found, None),
     "p2_rates": (p2_rates, None),
     "p3_found": (p3_found, P3_SQL),
+    "p4_found": (p4_found, None),
+    "p4_labels": (p4_labels, None),
     "p5_found": (p5_found, None),
     "p5_restored": (p5_restored, None),
     "p6_found": (p6_found, P6_SQL),
