@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import problems
+from .plans import problems, scalar_plans
 
-_MODULES = [problems]
+_MODULES = [problems, scalar_plans]
 
 
 def core_queries() -> dict:
