@@ -425,7 +425,7 @@ def _script(slots: dict[str, str], more: str = "") -> str:
     return re.sub("«(\\w+)»", lambda m: slots.get(m[1], ""), _SCRIPT) + more
 
 
-JAVASCRIPT = _script({})
+JAVASCRIPT = _script({"mods": "'static'?"})
 TYPESCRIPT = _script(_TYPED, _TYPES)
 #: The this parameter of TypeScript and template types need no rule of their own above.
 TYPESCRIPT = TYPESCRIPT.replace("param : decorators? pmod*", "param : 'this' (':' type)? | decorators? pmod*")
