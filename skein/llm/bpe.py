@@ -25,7 +25,7 @@ _MEMO = 400_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
-    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, data.splitlines()) if token}
+    return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, data.splitlines()))}
 
 
 class Encoder:

@@ -106,7 +106,7 @@ _BREAK = re.compile(
 )
 _ITEM = re.compile(r"(?:[-*+•‣◦]|\d{1,3}[.)])\s")
 _HEADER = re.compile(r"[\w./-]+(?:\([^)]*\))?!?:(?:\s|$)")
-_CODE = re.compile(r"(?:[;{},\[(]|=>|->|\\)\s*$|^\s*[})\]]|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|public|private|protected|static|package|use|if|for|while|else|elif|try|except|async|await|export|type|interface|struct|enum|impl|match|case|switch|raise|throw|with)\b[^.!?]*[({:=;]|\w\(\)|[=!<>]=|&&|\|\||::")
+_CODE = re.compile(r"(?:[;{}\[(]|=>|->|\\)\s*$|[=(){}\[\]<>\"].*,\s*$|^\s*[})\]]|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|public|private|protected|static|package|use|if|for|while|else|elif|try|except|async|await|export|type|interface|struct|enum|impl|match|case|switch|raise|throw|with)\b[^.!?]*[({:=;]|\w\(\)|[=!<>]=|&&|\|\||::")
 _SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?![\s\"'”’»)\]*_]|$)[^.!?。！？]*)*(?:[.!?。！？]+[\"'”’»)\]*_]*)(?=\s|$|(?<=[。！？]))")
 _INLINE = re.compile(r"`[^`]*`|https?://\S+|\S*[/\\]\S*|\[[^\]]*\]\([^)]*\)|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b|\[[\d.]+\]|<[^>]*>")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")

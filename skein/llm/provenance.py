@@ -131,7 +131,7 @@ def _notices(text: str, repo: str) -> bool:
             continue
         project = next((p for p in (n[f"p{i}"] for i in range(1, 9)) if p), "")
         key = re.sub(r"[\W_]+", "", project.lower())
-        if key and (not own or own not in key and key not in own):
+        if key and not (len(own) >= 3 and own in key or own == key):
             return True
     return False
 
