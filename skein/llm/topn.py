@@ -18,6 +18,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..common import scratch_path, shuffle_parts
+from ..common import checkpointed, scratch_path, shuffle_parts
 
 _ROW_GROUP_BYTES = 256 << 10
 
@@ -52,16 +53,16 @@ def _footers(groups: list[str]):
                     hashes, scores = g.column(at["_g"]).statistics, g.column(at["_score"]).statistics
                     keys = [g.column(at[f"_k{i}"]).statistics for i in range(len(groups))]
                     single = hashes.min == hashes.max and all(s is not None and s.has_min_max and s.min == s.max for s in keys)
-                    own.append((path, k, g.num_rows, hashes.min, hashes.max, bool(single), scores.min, scores.max))
+                    own.append((path, k, g.num_rows, hashes.min, hashes.max, json.dumps([x.min for x in keys]) if single else None, scores.min, scores.max))
                 if own:
                     lo, hi = min(x[3] for x in own), max(x[4] for x in own)
                     rows += [(*x, lo, hi) for x in own]
-            yield pd.DataFrame(rows, columns=["path", "rg", "n", "gmin", "gmax", "single", "smin", "smax", "file_gmin", "file_gmax"])
+            yield pd.DataFrame(rows, columns=["path", "rg", "n", "gmin", "gmax", "only", "smin", "smax", "file_gmin", "file_gmax"])
 
     return read
 
 
-def _survivors(keys: list[str], n: int):
+def _survivors(keys: list[str], n: int, edge: bool):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan = [pdf for pdf in batches if len(pdf)]
         if not plan:
@@ -70,7 +71,7 @@ def _survivors(keys: list[str], n: int):
         for path, own in pd.concat(plan).groupby("path"):
             file, nth, parts = _opened(path), {}, []
             for row in own.sort_values("smax", ascending=False, kind="stable").itertuples():
-                best = nth.get(row.gmin) if row.single else None
+                best = nth.get(row.only) if row.only else None
                 if best is not None and len(best) >= n and row.smax < best[0]:
                     continue
                 got = file.read_row_group(row.rg, columns=cols).to_pandas()
@@ -80,15 +81,14 @@ def _survivors(keys: list[str], n: int):
                 starts = np.r_[0, np.flatnonzero(new) + 1]
                 sizes = np.diff(np.r_[starts, len(got)])
                 got = got[np.arange(len(got)) - np.repeat(starts, sizes) < n]
-                if row.single:
-                    best = nth.setdefault(row.gmin, [])
+                if row.only:
+                    best = nth.setdefault(row.only, [])
                     for score in got["_score"]:
                         heapq.heappush(best, score) if len(best) < n else heapq.heappushpop(best, score)
                 parts.append(got)
             out = pd.concat(parts).sort_values(["_g", *keys, "_score", "_tie"], ascending=[True, *[True] * len(keys), False, True], kind="stable")
             out = out[out.groupby(["_g", *keys]).cumcount() < n]
-            edges = own[["file_gmin", "file_gmax"]].iloc[0]
-            yield out.assign(_edge=out["_g"].isin(list(edges)))
+            yield out[out["_g"].isin(list(own[["file_gmin", "file_gmax"]].iloc[0])) == edge]
 
     return read
 
@@ -116,14 +116,17 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: i
     schema = T.StructType([T.StructField("_g", T.LongType()), *[T.StructField(k, T.StringType()) for k in keys], T.StructField("_score", T.DoubleType()), T.StructField("_tie", T.LongType())])
     files = spark.read.schema(schema).parquet(path).inputFiles()
     listed = spark.createDataFrame([(f,) for f in files], "path string")
-    stats = listed.repartition(max(1, min(parts, len(files)))).mapInPandas(
-        _footers(groups), "path string, rg int, n long, gmin long, gmax long, single boolean, smin double, smax double, file_gmin long, file_gmax long"
-    )
-    bounds = stats.filter(F.col("single") & (F.col("n") >= n)).groupBy("gmin").agg(F.max("smin").alias("bound")).withColumn("single", F.lit(True))
-    kept = stats.join(bounds, ["gmin", "single"], "left").filter("bound is null or smax >= bound").drop("bound")
-    found = kept.repartition(parts, "path").mapInPandas(_survivors(keys, n), T.StructType([*schema.fields, T.StructField("_edge", T.BooleanType())]))
-
-    inside = found.filter("not _edge").drop("_edge")
+    # One row per row group, read once.
+    stats = checkpointed(listed.repartition(max(1, min(parts, len(files)))).mapInPandas(
+        _footers(groups), "path string, rg int, n long, gmin long, gmax long, only string, smin double, smax double, file_gmin long, file_gmax long"
+    ))
+    # ``only`` names the group of a row group that has just one.
+    bounds = stats.filter(F.col("only").isNotNull() & (F.col("n") >= n)).groupBy("only").agg(F.max("smin").alias("bound"))
+    kept = stats.join(bounds, "only", "left").filter("bound is null or smax >= bound").drop("bound")
+    inside = kept.repartition(parts, "path").mapInPandas(_survivors(keys, n, False), schema)
+    # Only the row groups that hold a file's first or last group are read for the edges.
+    rims = kept.filter("gmin in (file_gmin, file_gmax) or gmax in (file_gmin, file_gmax)")
+    outside = rims.repartition(parts, "path").mapInPandas(_survivors(keys, n, True), schema)
     rank = F.row_number().over(Window.partitionBy("_g", *keys).orderBy(F.col("_score").desc(), "_tie"))
-    outside = found.filter("_edge").drop("_edge").withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    outside = outside.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     return inside.unionByName(outside).select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("_tie").alias(tie), F.col("_score").alias(score))
