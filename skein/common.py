@@ -54,3 +54,13 @@ def latest(df: DataFrame, keys: list[str], at: str = "recorded_at") -> DataFrame
     picked = F.max_by(F.struct(*rest, at), F.col(at)) if rest else F.struct(F.max(at).alias(at))
     out = df.dropna(subset=keys).groupBy(*keys).agg(picked.alias("_row"))
     return out.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in [*rest, at]])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, before costly work on each row.
+
+    Few files, or a file of few row groups, would leave cores idle; inputs of
+    more partitions than cores stay where they are read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import checkpointed
+from ..common import checkpointed, spread
 from ..functions import scalar as S
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000, every: int = 4) -> DataFrame:
+#: Edges whose adjacency is sent to all tasks, at most; 16 bytes each.
+MAX_SENT_EDGES = 4_000_000
+
+
+def _reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """Breadth first in memory, each task over its own roots, with the whole adjacency."""
+    pairs = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toPandas().sort_values("src")
+    heads, first = np.unique(pairs["src"].to_numpy(), return_index=True)
+    sent = edges.sparkSession.sparkContext.broadcast((heads, np.append(first, len(pairs)), pairs["dst"].to_numpy()))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        heads, first, dst = sent.value
+        for pdf in batches:
+            for root in pdf["id"]:
+                seen, ring, depth = np.empty(0, np.int64), np.array([root]), 0
+                while len(ring) and depth < max_depth:
+                    depth += 1
+                    at = np.searchsorted(heads, ring)
+                    at = at[(at < len(heads)) & (heads[np.minimum(at, len(heads) - 1)] == ring)] if len(heads) else at[:0]
+                    near = np.unique(np.concatenate([dst[first[i] : first[i + 1]] for i in at])) if len(at) else np.empty(0, np.int64)
+                    ring = np.setdiff1d(near, seen, assume_unique=True)
+                    if len(ring):
+                        seen = np.union1d(seen, ring)
+                        yield pd.DataFrame({"root": root, "node": ring, "depth": depth})
+
+    return spread(roots.select(F.col("id").cast("long").alias("id")).distinct()).mapInPandas(walk, "root long, node long, depth int")
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000, max_sent: int = MAX_SENT_EDGES, every: int = 4) -> DataFrame:
     """GR01: (root, node, depth): nodes reachable from each root by one step or more, with the fewest steps.
 
-    A root comes out itself only if it lies on a cycle.  Breadth first: each
-    round joins the frontier with the edges and drops what is known, by keys
-    that both sides share, so that known pairs stay where they are.  Lineage
-    is cut every few rounds through the shared checkpoint folder.
+    A root comes out itself only if it lies on a cycle.  The number of edges
+    is checked: up to ``max_sent`` the adjacency goes to every task and each
+    root is searched there, without a shuffle.  Beyond that, breadth first by
+    joins: each round joins the frontier with the edges and drops what is
+    known; lineage is cut every few rounds through the shared folder.
     """
     step = edges.select("src", "dst").distinct()
+    if step.limit(max_sent + 1).count() <= max_sent:
+        return _reach(step, roots, max_depth)
     known = roots.select(F.col("id").alias("root")).join(step, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(1).alias("depth")).distinct()
     frontier = known
     for depth in range(2, max_depth + 1):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..common import spread
 from ..functions import scalar as S
 
 K1, LENGTH_WEIGHT, RRF = 1.2, 0.75, 60
@@ -34,8 +35,10 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top: int | None = 50)
         if len(t) > 1:
             terms[t] = terms.get(t, 0) + 1
     names = sorted(terms)
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), S.search_tokens(text).alias("_t"))
-    rows = rows.select("_key", F.size("_t").alias("_dl"), *[_count("_t", t).alias(f"_f{i}") for i, t in enumerate(names)])
+    rows = spread(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_x")))
+    # Two projections, so that the tokens are cut once and only query terms are counted.
+    rows = rows.select("_key", S.search_tokens("_x").alias("_t")).select("_key", F.size("_t").alias("_dl"), F.filter("_t", lambda w: w.isin(names)).alias("_t"))
+    rows = rows.select("_key", "_dl", *[_count("_t", t).alias(f"_f{i}") for i, t in enumerate(names)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(names))])
     scored = rows.filter(" or ".join(f"_f{i} > 0" for i in range(len(names))) or "false").join(F.broadcast(stats))
     score: Column = F.lit(0.0)

@@ -42,12 +42,14 @@ def test_couplings_and_contracts(spark):
     assert H.couplings(wide, most_files=20, top=None).count() == 0
 
 
-def test_closure_of_a_cycle(spark):
+@pytest.mark.parametrize("max_sent", [0, 1000])
+def test_closure_of_a_cycle(spark, max_sent):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4), (5, 6)], "src long, dst long")
     nodes = spark.createDataFrame([(i, "m") for i in range(1, 8)], "id long, module string")
-    got = {(r.root, r.node) for r in G.closure(edges, nodes).collect()}
+    got = {(r.root, r.node) for r in G.closure(edges, nodes, max_sent=max_sent).collect()}
     assert got == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3)} | {(4, 4), (5, 6)}
-    assert G.closure(edges.limit(0), nodes).count() == 0
+    assert G.closure(edges.limit(0), nodes, max_sent=max_sent).count() == 0
+    assert {tuple(r) for r in G.closure(edges, nodes.filter("id = 1"), 2, max_sent).collect()} == {(1, 2, 1), (1, 3, 2)}
 
 
 def test_flow_chain_does_not_loop(spark):
