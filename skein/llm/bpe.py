@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
+
 #: The pre-tokenizer pattern of this vocabulary (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -129,4 +131,4 @@ def encode_corpus(df: DataFrame, doc_id: str, text: str, vocabulary: str) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "ids"])
 
     rows = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(rows).mapInArrow(run, "doc_id long, ids array<int>")

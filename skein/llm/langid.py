@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
+
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _LONGEST = 5
 
@@ -238,7 +240,7 @@ def language_segments(docs: DataFrame, doc_id: str, text: str, samples: DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["doc_id", "segment", "lang", "confidence", "n_sentences", "n_words"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return rows.mapInArrow(run, f"doc_id {kind}, segment int, lang string, confidence double, n_sentences int, n_words int")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, segment int, lang string, confidence double, n_sentences int, n_words int")
 
 
 def labelled(column):

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
+
 _WORDS = re.compile(r"[^\W_]+").findall
 
 
@@ -68,6 +70,7 @@ def leaked_items(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
+    rows = spread(rows)
     source = items.select(F.col(f"`{item_id}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").alias("text")).dropna()
     blocks = max(1, -(-source.count() // max_item_rows))
     out = None

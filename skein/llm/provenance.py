@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import checkpointed, latest
+from ..common import checkpointed, latest, spread
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 _N = len(LABELS)
@@ -204,6 +204,7 @@ def label_files(df: DataFrame, at: str | None = "recorded_at") -> DataFrame:
         F.col("file_id").cast("long"), F.coalesce(F.col("repo").cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"),
         (F.col(at) if at else F.lit(None)).cast("timestamp").alias("at"), F.col("content").cast("string"),
     ).filter("file_id is not null")
+    rows = spread(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

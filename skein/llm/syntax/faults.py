@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ...common import latest
+from ...common import latest, spread
 from .parser import EXTENSIONS, LANGUAGES, Parser, make_tables
 
 _SCHEMA = "file_id long, repo string, path string, language string, at timestamp, valid boolean, line int, column int, token string"
@@ -35,6 +35,7 @@ def check_files(df: DataFrame, at: str | None = "recorded_at") -> DataFrame:
     rows = df.select(
         F.col("file_id").cast("long"), F.col("repo").cast("string"), F.col("path").cast("string"), (F.col(at) if at else F.lit(None)).cast("timestamp").alias("at"), F.col("content").cast("string")
     ).filter("file_id is not null")
+    rows = spread(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsers = _parsers(id(shared), shared)
