@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..common import spread
+from ..common import scratch_path, spread
 from ..functions import scalar as S
 
 K1, LENGTH_WEIGHT, RRF = 1.2, 0.75, 60
@@ -39,13 +41,19 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top: int | None = 50)
     # Two projections, so that the tokens are cut once and only query terms are counted.
     rows = rows.select("_key", S.search_tokens("_x").alias("_t")).select("_key", F.size("_t").alias("_dl"), F.filter("_t", lambda w: w.isin(names)).alias("_t"))
     rows = rows.select("_key", "_dl", *[_count("_t", t).alias(f"_f{i}") for i, t in enumerate(names)])
-    stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(names))])
-    scored = rows.filter(" or ".join(f"_f{i} > 0" for i in range(len(names))) or "false").join(F.broadcast(stats))
+    # One pass over the texts: the statistics are observed while the rows with a hit are written.
+    seen = Observation()
+    every = rows.observe(seen, F.count("*").alias("n"), F.sum("_dl").alias("dl"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(names))])
+    path = scratch_path(docs.sparkSession, "bm25")
+    every.filter(" or ".join(f"_f{i} > 0" for i in range(len(names))) or "false").write.parquet(path)
+    stats = seen.get
+    n, average = stats["n"] or 0, (stats["dl"] or 0) / (stats["n"] or 1)
+    scored = docs.sparkSession.read.schema(rows.schema).parquet(path)
     score: Column = F.lit(0.0)
     for i, t in enumerate(names):
-        df, tf = F.col(f"_d{i}"), F.col(f"_f{i}")
-        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5) + 1)
-        score = score + F.lit(float(terms[t])) * idf * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("_dl") / F.col("_avg")))
+        tf = F.col(f"_f{i}")
+        idf = math.log((n - stats[f"d{i}"] + 0.5) / (stats[f"d{i}"] + 0.5) + 1)
+        score = score + F.lit(terms[t] * idf) * tf * (K1 + 1) / (tf + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("_dl") / (average or 1.0)))
     out = scored.select(F.col("_key").alias(key), F.round(score, 6).alias("score"))
     return out.orderBy(F.desc("score"), key).limit(top) if top else out
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -82,6 +82,10 @@ def evaluate(queries: DataFrame, files: DataFrame, keys: list[str], expr: str, p
     return pairs.filter(inside).select(*keys, expr, path).distinct()
 
 
+def _tagged(column: str) -> Column:
+    return F.transform(column, lambda w: F.struct(w.alias("w"), F.lit(column).alias("kind")))
+
+
 def match_tasks(tasks: DataFrame, key: str, task: str, scopes: DataFrame, threshold: float = 0.05, top: int = 3) -> DataFrame:
     """SET07, TOP05: (key, scope, score), best scopes of each task.
 
@@ -89,19 +93,22 @@ def match_tasks(tasks: DataFrame, key: str, task: str, scopes: DataFrame, thresh
     the name, .15 of the share of the description's words.  Only scopes that
     share a word with the task can score, so the join is by word.
     """
-    t = tasks.select(key, S.task_words(task).alias("_tw")).filter("size(_tw) > 0")
-    s = scopes.select("scope", S.task_words(F.array_join("keywords", " ")).alias("_kw"), S.task_words("scope").alias("_nw"), S.task_words("description").alias("_dw"))
-    words = s.withColumn("_w", F.explode(F.array_distinct(F.concat("_kw", "_nw", "_dw"))))
-    pairs = t.withColumn("_w", F.explode("_tw")).join(words, "_w").drop("_w").dropDuplicates([key, "scope"])
-    both = F.size(F.array_intersect("_tw", "_kw"))
-    score = F.when(F.size("_kw") > 0, 0.6 * both / F.size(F.array_union("_tw", "_kw"))).otherwise(0.0)
-    score = score + F.when(F.arrays_overlap("_nw", "_tw"), 0.25).otherwise(0.0)
-    score = score + F.when(F.size("_dw") > 0, 0.15 * F.size(F.array_intersect("_tw", "_dw")) / F.size("_dw")).otherwise(0.0)
-    from pyspark.sql import Window
-
-    out = pairs.select(key, "scope", F.round(F.least(score, F.lit(1.0)), 6).alias("score")).filter(F.col("score") >= threshold)
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "scope"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= top)
+    asked = tasks.select(key, F.array_join(S.task_words(task), " ").alias("_t")).filter("_t <> ''")
+    # Tasks of the same words are matched once.
+    t = asked.select("_t").distinct().withColumn("_tw", F.split("_t", " "))
+    kinds = ("k", "n", "d")
+    s = scopes.select("scope", S.task_words(F.array_join("keywords", " ")).alias("k"), S.task_words("scope").alias("n"), S.task_words("description").alias("d"))
+    held = F.explode(F.concat(*[_tagged(k) for k in kinds])).alias("x")
+    words = s.select("scope", held).select("scope", "x.w", "x.kind")
+    # Overlaps are counted from the joined words, so no array is compared with another.
+    hits = t.select("_t", F.size("_tw").alias("_words"), F.explode("_tw").alias("w")).join(words, "w").groupBy("_t", "_words", "scope").agg(*[F.count_if(F.col("kind") == k).alias(f"_{k}") for k in kinds])
+    pairs = hits.join(s.select("scope", F.size("k").alias("_sk"), F.size("d").alias("_sd")), "scope")
+    score = F.when(F.col("_sk") > 0, 0.6 * F.col("_k") / (F.col("_words") + F.col("_sk") - F.col("_k"))).otherwise(0.0)
+    score = score + F.when(F.col("_n") > 0, 0.25).otherwise(0.0)
+    score = score + F.when(F.col("_sd") > 0, 0.15 * F.col("_d") / F.col("_sd")).otherwise(0.0)
+    out = pairs.select("_t", "scope", F.round(F.least(score, F.lit(1.0)), 6).alias("score")).filter(F.col("score") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("score"), "scope"))
+    return asked.join(out.withColumn("rank", rank).filter(F.col("rank") <= top), "_t").select(key, "scope", "score", "rank")
 
 
 def overlay(tracked: DataFrame, runtime: DataFrame, key: str) -> DataFrame:
