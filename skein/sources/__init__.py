@@ -1,0 +1 @@
+"""Scans, parsers and sinks."""
