@@ -149,6 +149,14 @@ def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _segments(spark, sf_dir)
 
 
+P8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) >= 10)),
+ig AS (SELECT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i WHERE len(w) >= 10))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
 _ALL = {
     "p2_found": (p2_found, None),
     "p2_rates": (p2_rates, None),
@@ -159,7 +167,7 @@ _ALL = {
     "p5_restored": (p5_restored, None),
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
-    "p8_found": (p8_found, None),
+    "p8_found": (p8_found, P8_SQL),
     "p9_found": (p9_found, None),
     "p9_documents": (p9_documents, None),
     "p9_segments": (p9_segments, None),
