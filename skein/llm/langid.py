@@ -219,28 +219,31 @@ def _model(samples: tuple[tuple[str, str], ...]) -> Model:
     return Model(list(samples))
 
 
-def language_segments(docs: DataFrame, doc_id: str, text: str, samples: DataFrame, lang: str = "lang", sample: str = "text", max_samples: int = 100_000) -> DataFrame:
-    """(doc_id, segment, lang, confidence, n_sentences, n_words), one row per stretch of one language.
-
-    Null, empty and blank texts, and texts without a full sentence of prose,
-    give no row.  Repeated documents give repeated rows.  The model is fitted
-    on the labelled samples, of which at most ``max_samples`` are read, in
-    order of language and text.
+def language_segments(docs: DataFrame, doc_id: str, text: str, samples: DataFrame, lang: str = "lang", sample: str = "text", label: str | None = None, max_samples: int = 100_000) -> DataFrame:
+    """(doc_id, label, segment, lang, confidence, n_sentences, n_words), one row per stretch of one language.
+
+    ``label`` names a column that is carried along, so that a later comparison
+    with it needs no join; without one it is null.  Null, empty and blank
+    texts, and texts without a full sentence of prose, give no row.  Repeated
+    documents give repeated rows.  The model is fitted on the labelled
+    samples, of which at most ``max_samples`` are read, in order of language
+    and text.
     """
     fitted = tuple((r[0], r[1]) for r in samples.select(F.col(f"`{lang}`").alias("l"), F.col(f"`{sample}`").alias("t")).dropna().orderBy("l", "t").limit(max_samples).collect())
     sent = docs.sparkSession.sparkContext.broadcast(fitted)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
+    carried = (F.col(f"`{label}`") if label else F.lit(None)).cast("string").alias("label")
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), carried, F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(sent.value)
         for batch in batches:
-            found = [(key, i, *s) for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i, s in enumerate(segments(model, t))]
-            columns = list(zip(*found)) if found else [()] * 6
-            types = (batch.schema.field(0).type, pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["doc_id", "segment", "lang", "confidence", "n_sentences", "n_words"])
+            found = [(key, tag, i, *s) for key, tag, t in zip(*(batch.column(k).to_pylist() for k in range(3))) for i, s in enumerate(segments(model, t))]
+            columns = list(zip(*found)) if found else [()] * 7
+            types = (batch.schema.field(0).type, pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], ["doc_id", "label", "segment", "lang", "confidence", "n_sentences", "n_words"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return spread(rows).mapInArrow(run, f"doc_id {kind}, segment int, lang string, confidence double, n_sentences int, n_words int")
+    return spread(rows).mapInArrow(run, f"doc_id {kind}, label string, segment int, lang string, confidence double, n_sentences int, n_words int")
 
 
 def labelled(column):
@@ -252,11 +255,10 @@ def labelled(column):
     return code
 
 
-def missing_languages(docs: DataFrame, found: DataFrame, doc_id: str, label: str, sure: float = 0.8) -> DataFrame:
-    """(doc_id, lang): languages with a full sentence in the text that the label does not name."""
-    named = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), labelled(F.col(f"`{label}`")).alias("_label"))
-    here = found.filter(F.col("confidence") >= sure).select("doc_id", "lang").distinct()
-    return here.join(named, "doc_id").filter("_label is null or _label <> lang").select("doc_id", "lang").distinct()
+def missing_languages(found: DataFrame, sure: float = 0.8) -> DataFrame:
+    """(doc_id, lang): languages with a full sentence in the text that the carried label does not name."""
+    named = labelled(F.col("label"))
+    return found.filter((F.col("confidence") >= sure) & (named.isNull() | (named != F.col("lang")))).select("doc_id", "lang").distinct()
 
 
 def document_languages(docs: DataFrame, found: DataFrame, doc_id: str, label: str) -> DataFrame:

@@ -131,12 +131,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "lang_samples"))
+    return language_segments(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "lang_samples"), label="lang")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages with a full sentence in a document that its label does not name."""
-    return missing_languages(table(spark, sf_dir, "documents"), _segments(spark, sf_dir), "doc_id", "lang")
+    return missing_languages(_segments(spark, sf_dir))
 
 
 def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each stretch of prose."""
-    return _segments(spark, sf_dir)
+    return _segments(spark, sf_dir).drop("label")
 
 
 P8_SQL = r"""

@@ -53,8 +53,8 @@ def test_frames(spark):
         [(1, f"{EN} {EN}\n\n{DE}", "en", "s"), (2, DE, None, "s"), (3, None, "en", "s"), (4, "", "en", "s"), (5, EN, "English", "s"), (5, EN, "English", "s"), (6, RU, "en-GB", "s"), (7, (EN + " ") * 3000, "de", "s")],
         "doc_id long, text string, lang string, segment string",
     )
-    found = language_segments(docs, "doc_id", "text", samples)
-    assert {tuple(r) for r in missing_languages(docs, found, "doc_id", "lang").collect()} == {(1, "de"), (2, "de"), (6, "ru"), (7, "en")}
+    found = language_segments(docs, "doc_id", "text", samples, label="lang")
+    assert {tuple(r) for r in missing_languages(found).collect()} == {(1, "de"), (2, "de"), (6, "ru"), (7, "en")}
     verdicts = {r.doc_id: (r.lang, r.verdict) for r in document_languages(docs, found, "doc_id", "lang").collect()}
     assert verdicts == {1: ("en", "right"), 2: ("de", "missing"), 3: (None, "unknown"), 4: (None, "unknown"), 5: ("en", "right"), 6: ("ru", "wrong"), 7: ("en", "wrong")}
     assert all(0 < r.confidence <= 1 for r in found.collect())
