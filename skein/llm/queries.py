@@ -63,18 +63,18 @@ def p4_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_files(table(spark, sf_dir, "file_analyses"))
 
 
-def _mended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_garbled(table(spark, sf_dir, "decoded_texts"), "text_id", "text", table(spark, sf_dir, "lang_samples"), "text")
+def _mended(spark: SparkSession, sf_dir: str, restore: bool) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "decoded_texts"), "text_id", "text", table(spark, sf_dir, "lang_samples"), "text", restore=restore)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that show characters from a wrong decoding."""
-    return _mended(spark, sf_dir).filter("garbled").select("text_id")
+    return _mended(spark, sf_dir, False).filter("garbled").select("text_id")
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected texts with what could be restored."""
-    return _mended(spark, sf_dir).filter("garbled").select("text_id", "restored", "complete")
+    return _mended(spark, sf_dir, True).filter("garbled").select("text_id", "restored", "complete")
 
 
 def _clean_paths(column: str):
