@@ -9,6 +9,10 @@ first token that no stack can take, or -1.
 from __future__ import annotations
 
 
+#: Remembered chains of unit rules per grammar.
+_CHAINS = 300_000
+
+
 def _advance(tables: dict, frontier: list, term: int) -> list:
     """All stacks after every possible reduction and the shift of ``term``."""
     actions, gotos, lhs, sizes = tables["actions"], tables["gotos"], tables["lhs"], tables["sizes"]
@@ -65,6 +69,7 @@ def first_error(tables: dict, terms: list[int], inserted: int = -1, may_insert=N
     ``may_insert(i)`` holds and the token itself is not possible.
     """
     actions, gotos, lhs, sizes = tables["actions"], tables["gotos"], tables["lhs"], tables["sizes"]
+    states, width, chains = len(actions), len(tables["terminals"]) + 1, tables.setdefault("chains", {})
     node = (0, None)
     many: list | None = None
     n = len(terms)
@@ -87,7 +92,23 @@ def first_error(tables: dict, terms: list[int], inserted: int = -1, may_insert=N
                     node = (a, node)
                     break
                 r = -a - 1
-                for _ in range(sizes[r]):
+                size = sizes[r]
+                if size == 1:
+                    # A chain of unit rules ends in a state that only the two top states and the terminal decide.
+                    base = node[1]
+                    under = base[0]
+                    key = (node[0] * states + under) * width + term
+                    state = chains.get(key)
+                    if state is None:
+                        state = gotos[under][lhs[r]]
+                        while type(b := actions[state].get(term)) is int and b < 0 and sizes[-b - 1] == 1:
+                            state = gotos[under][lhs[-b - 1]]
+                        if len(chains) > _CHAINS:
+                            chains.clear()
+                        chains[key] = state
+                    node = (state, base)
+                    continue
+                for _ in range(size):
                     node = node[1]
                 node = (gotos[node[0]][lhs[r]], node)
             before = [start]
