@@ -16,6 +16,7 @@ from ..operators import retrieval as R
 from ..operators import scopes as C
 from ..sources import sinks as K
 from . import bind as B
+from . import history_plans as HP
 from . import scalar_plans as Z
 from . import search_plans as P
 
@@ -189,7 +190,14 @@ def _(s, d):
     return H.recent_by_module(P.sized(s, d), "repo", [F.desc("tokens"), F.col("path")], 12).select("repo", "path")
 
 
-@q("TOP08_hints", None)
+_HINTS = r"""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS no, unnest(p) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
+h AS (SELECT *, last_value(CASE WHEN starts_with(line, '#') THEN lower(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY no) AS head FROM l),
+s AS (SELECT doc_id, no, line, CASE WHEN head IS NULL THEN CASE WHEN contains(lower(line), 'co-change') OR contains(lower(line), 'commits') THEN 'git_history' WHEN regexp_matches(lower(line), 'invariant:|hack:|warning:|note:') THEN 'signal_comment' ELSE 'hand_authored' END WHEN regexp_matches(head, 'history|contract|stability') THEN 'git_history' WHEN regexp_matches(head, 'docstring|readme') THEN 'docstring' WHEN regexp_matches(head, 'signal|comment') THEN 'signal_comment' ELSE 'hand_authored' END AS source FROM h
+  WHERE regexp_matches(line, '(?i)\b(never|always|must|warning|invariant|important|do not|don''t|avoid|careful)\b') AND NOT starts_with(line, '#') AND length(trim(line)) > 15)
+SELECT doc_id, CAST(no AS BIGINT) AS no, source, trim(line) AS hint FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE source WHEN 'git_history' THEN 0 WHEN 'signal_comment' THEN 1 WHEN 'hand_authored' THEN 2 ELSE 3 END, no) <= 3"""
+
+
+@q("TOP08_hints", _HINTS)
 def _(s, d):
     return X.hint_lines(table(s, d, "documents").filter("text is not null"), "doc_id", "text")
 
@@ -279,7 +287,12 @@ def _(s, d):
     return K.upsert(o, o.filter("k % 3 = 0").withColumn("v", F.lit("new")), ["k"])
 
 
-@q("GR07_virtual_scopes", None)
+_VIRTUAL = f"""WITH c AS (SELECT * FROM ({HP.QUERIES["AGG12_clusters"][1]}) WHERE cohesion >= 0.02), m AS (SELECT DISTINCT hub, src AS i FROM c JOIN edges ON dst = hub), n AS (SELECT hub, count(*) AS n FROM m GROUP BY hub),
+p AS (SELECT a.hub, b.hub AS o, count(*) AS x FROM m a JOIN m b ON a.i = b.i AND a.hub <> b.hub GROUP BY ALL), f AS (SELECT DISTINCT p.hub FROM p JOIN n a ON a.hub = p.hub JOIN n b ON b.hub = p.o WHERE x / (a.n + b.n - x) > 0.7 AND (b.n > a.n OR (b.n = a.n AND p.o < p.hub)))
+SELECT * FROM c WHERE hub NOT IN (SELECT hub FROM f)"""
+
+
+@q("GR07_virtual_scopes", _VIRTUAL, "edges")
 def _(s, d):
     e = B.edges(s, d)
     c = G.clusters(e, G.hubs(e, B.nodes(s, d))).filter("cohesion >= 0.02")
