@@ -105,11 +105,12 @@ def pairs_above_chance(
     """
     gk = [f"_g{i}" for i in range(len(groups))]
     clean = baskets.select(
-        *[F.col(f"`{g}`").alias(k) for g, k in zip(groups, gk)], F.col(f"`{record}`").cast("string").alias("_rec"), F.array_distinct(F.array_compact(F.col(f"`{items}`"))).alias("_items")
-    ).dropna(subset=[*gk, "_rec"]).filter("size(_items) > 0")
-    held = checkpointed(clean)
+        *[F.col(f"`{g}`").alias(k) for g, k in zip(groups, gk)], F.col(f"`{record}`").cast("string").alias("_key"), F.array_distinct(F.array_compact(F.col(f"`{items}`"))).alias("_items")
+    ).dropna(subset=[*gk, "_key"]).filter("size(_items) > 0")
+    # From here on a record is a 64-bit number; only its equality matters.
+    held = checkpointed(clean.select(*gk, F.xxhash64("_key").alias("rec"), "_items"))
     totals = held.groupBy(*gk).agg(F.count("*").alias("n"))
-    each = held.select(*gk, "_rec", F.explode("_items").alias("_item"))
+    each = held.select(*gk, "rec", F.explode("_items").alias("_item"))
     counts = each.groupBy(*gk, "_item").agg(F.count("*").alias("n_item")).filter(F.col("n_item") >= min_count)
     sized = totals.join(counts.groupBy(*gk).agg(F.count("*").alias("n_items")), gk)
     sized = sized.select("*", F.ceil(F.col("n_items") / item_block).cast("int").alias("ib"), F.ceil(F.col("n") / record_block).cast("int").alias("rbs"))
@@ -118,7 +119,7 @@ def pairs_above_chance(
         counts.join(sized, gk).select(*gk, "_item", "n_item", "n", "ib", "rbs", F.monotonically_increasing_id().alias("item"), F.xxhash64(*gk).alias("gid"), F.pmod(F.xxhash64("_item"), "ib").cast("int").alias("blk"))
     )
     rows = each.join(named, [*gk, "_item"]).select(
-        "gid", "item", "blk", "ib", F.xxhash64("_rec").alias("rec"), F.pmod(F.xxhash64("_rec", F.lit(7)), "rbs").cast("int").alias("rb"), F.when(F.col("rbs") == 1, min_count).otherwise(1).alias("least")
+        "gid", "item", "blk", "ib", "rec", F.pmod(F.xxhash64("rec"), "rbs").cast("int").alias("rb"), F.when(F.col("rbs") == 1, min_count).otherwise(1).alias("least")
     )
     # The blocks each occurrence takes part in: (blk, j) on the left and (i, blk) on the right.
     tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ib") - 1))).select(
