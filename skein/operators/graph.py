@@ -138,11 +138,11 @@ def flow_chains(edges: DataFrame, starts: DataFrame, max_hops: int = 6) -> DataF
     return at.select("start", (F.size("chain") - 1).cast("long").alias("hops"), F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
-def absent_boundaries(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """JN28: module pairs without an import; the modules are a small dimension, whose pairs are its square."""
-    m = nodes.select("module").distinct()
-    pairs = m.select(F.col("module").alias("src_module")).join(m.select(F.col("module").alias("dst_module")), F.col("src_module") != F.col("dst_module"))
-    return pairs.join(module_edges(edges, nodes), ["src_module", "dst_module"], "left_anti")
+def absent_boundaries(edges: DataFrame, nodes: DataFrame, group: str = "repo") -> DataFrame:
+    """JN28: pairs of modules of one group without an import; modules meet only inside their group."""
+    m = nodes.select(group, "module").distinct()
+    pairs = m.select(group, F.col("module").alias("src_module")).join(m.select(group, F.col("module").alias("dst_module")), group).filter("src_module <> dst_module")
+    return pairs.select("src_module", "dst_module").join(module_edges(edges, nodes), ["src_module", "dst_module"], "left_anti")
 
 
 def ghost_couplings(pairs: DataFrame, links: DataFrame) -> DataFrame:

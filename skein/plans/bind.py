@@ -21,10 +21,10 @@ CTES = {
     "touched": "SELECT DISTINCT repo, commit_id, ts, file FROM (SELECT repo, commit_id, ts, replace(unnest(actual_files_modified), chr(92), '/') AS file FROM commits WHERE repo IS NOT NULL) WHERE file IS NOT NULL",
     "predicted": "SELECT DISTINCT repo, session_id, ts, file FROM (SELECT repo, session_id, ts, replace(unnest(predicted_files), chr(92), '/') AS file FROM sessions WHERE repo IS NOT NULL) WHERE file IS NOT NULL",
     "changes": "SELECT o_orderkey AS commit_id, o_orderdate AS ts, 'n' || s_nationkey AS module, 'n' || s_nationkey || '/s' || s_suppkey AS file, CAST(sum(l_quantity) AS BIGINT) AS ins, CAST(sum(l_linenumber) AS BIGINT) AS dels FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
-    "edges": "SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE (l_orderkey + l_partkey) % 300 = 0 AND l_suppkey <> l_partkey % (SELECT count(*) FROM supplier)",
-    "nodes": "SELECT s_suppkey AS id, 'n' || s_nationkey AS module FROM supplier",
+    "nodes": "SELECT file_id AS id, repo, repo || '/' || CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS module, path FROM files",
+    "edges": r"SELECT DISTINCT i.file_id AS src, t.file_id AS dst FROM (SELECT file_id, repo, coalesce(nullif(regexp_extract(i, 'from ''[./]*([A-Za-z_]\w*)', 1), ''), nullif(regexp_extract(i, '^use crate::(\w+)', 1), ''), nullif(regexp_extract(i, '^from [.](\w+)', 1), '')) AS word FROM (SELECT file_id, repo, unnest(imports) AS i FROM files)) i JOIN (SELECT file_id, repo, string_split(path, '/')[-2] AS word FROM files) t ON t.repo = i.repo AND t.word = i.word WHERE i.file_id <> t.file_id",
 }
-_NEEDS = {"touched": ["commits"], "predicted": ["sessions"]}
+_NEEDS = {"touched": ["commits"], "predicted": ["sessions"], "edges": ["files"], "nodes": ["files"]}
 
 
 def sql(body: str, *names: str) -> str:
@@ -97,13 +97,16 @@ def changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    """A directed import graph between suppliers."""
-    n = table(spark, d, "supplier").agg(F.count("*").alias("n"))
-    item = table(spark, d, "lineitem").filter((F.col("l_orderkey") + F.col("l_partkey")) % 300 == 0)
-    # The one-row side: the number of suppliers.
-    rows = item.join(F.broadcast(n)).select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % F.col("n")).alias("dst"))
-    return rows.filter("src <> dst").distinct()
+    """The import graph of files: an import that names a directory leads to the files of that directory in the repo."""
+    rows = latest(table(spark, d, "file_analyses").select("file_id", "repo", "path", "imports", "recorded_at"), ["file_id"])
+    found = lambda pattern: F.nullif(F.regexp_extract("i", pattern, 1), F.lit(""))
+    word = F.coalesce(found(r"from '[./]*([A-Za-z_]\w*)"), found(r"^use crate::(\w+)"), found(r"^from [.](\w+)"))
+    source = rows.select(F.col("file_id").alias("src"), "repo", F.explode("imports").alias("i")).select("src", "repo", word.alias("word")).dropna().distinct()
+    target = rows.select(F.col("file_id").alias("dst"), "repo", F.try_element_at(F.split("path", "/"), F.lit(-2)).alias("word"))
+    return source.join(target, ["repo", "word"]).filter("src <> dst").select("src", "dst").distinct()
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("module"))
+    """Files as nodes; a module is a repo's first directory."""
+    top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise("")
+    return paths(spark, d).select(F.col("file_id").alias("id"), "repo", F.concat("repo", F.lit("/"), top).alias("module"), "path")

@@ -146,12 +146,12 @@ def _(s, d):
     return match_routes(*Z.shape_pairs(s, d)).groupBy("handler").agg(F.sum(F.col("np") * F.col("nc")).alias("n"), F.max("confidence").alias("confidence"))
 
 
-@q("AGG53_scope_confidence", "WITH z AS (SELECT module, count(*) AS n_files FROM nodes GROUP BY module), k AS (SELECT a.module, sum(CASE WHEN a.module = b.module THEN 1 ELSE 0 END) AS i, count(*) AS t FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY a.module) SELECT module, round(least(coalesce(i / t, 1.0) + 0.1 * (n_files % 2) + 0.1, 1.0), 6) AS confidence FROM z LEFT JOIN k USING (module)", "edges", "nodes")
+@q("AGG53_scope_confidence", "WITH z AS (SELECT module, count(*) AS n_files FROM nodes GROUP BY module), k AS (SELECT a.module, sum(CASE WHEN a.module = b.module THEN 1 ELSE 0 END) AS i, count(*) AS t FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY a.module) SELECT module, round(least(coalesce(i / t, 1.0) + 0.1 * least(n_files - 1, 1) + 0.1, 1.0), 6) AS confidence FROM z LEFT JOIN k USING (module)", "edges", "nodes")
 def _(s, d):
     n = B.nodes(s, d)
     m = G.module_edges(B.edges(s, d), n).groupBy(F.col("src_module").alias("module")).agg(F.sum(F.when(F.col("src_module") == F.col("dst_module"), F.col("n")).otherwise(0)).alias("i"), F.sum("n").alias("t"))
     out = n.groupBy("module").agg(F.count("*").alias("k")).join(m, "module", "left")
-    return out.select("module", F.round(F.least(F.coalesce(F.col("i") / F.col("t"), F.lit(1.0)) + 0.1 * (F.col("k") % 2) + 0.1, F.lit(1.0)), 6).alias("confidence"))
+    return out.select("module", F.round(F.least(F.coalesce(F.col("i") / F.col("t"), F.lit(1.0)) + 0.1 * F.least(F.col("k") - 1, F.lit(1)) + 0.1, F.lit(1.0)), 6).alias("confidence"))
 
 
 @q("AGG55_stability_sections", f"WITH h AS (SELECT repo, file, count(*) AS n, ({B.AS_OF} - max(ts)) / 86400 AS age FROM touched GROUP BY ALL) SELECT repo, file, CASE WHEN age < 90 AND n > 5 THEN 'volatile' WHEN n < 5 AND age < 90 THEN 'destabilized' WHEN age > 180 THEN 'stable' ELSE 'settling' END AS section FROM h WHERE age IS NOT NULL", "touched")
@@ -281,10 +281,11 @@ def _(s, d):
     return K.read_version(s, root)
 
 
-@q("SNK13_upsert", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE o_orderstatus END AS v FROM orders")
+@q("SNK13_upsert", "SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' THEN 'new' ELSE o_orderstatus END AS v FROM orders")
 def _(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    return K.upsert(o, o.filter("k % 3 = 0").withColumn("v", F.lit("new")), ["k"])
+    urgent = table(s, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("k"), F.lit("new").alias("v"))
+    return K.upsert(o, urgent, ["k"])
 
 
 _VIRTUAL = f"""WITH c AS (SELECT * FROM ({HP.QUERIES["AGG12_clusters"][1]}) WHERE cohesion >= 0.02), m AS (SELECT DISTINCT hub, src AS i FROM c JOIN edges ON dst = hub), n AS (SELECT hub, count(*) AS n FROM m GROUP BY hub),

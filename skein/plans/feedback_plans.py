@@ -163,11 +163,11 @@ def _(s, d):
 _STABLE = "h AS (SELECT file, count(DISTINCT commit_id) AS commits, sum(ins + dels) AS lines FROM changes GROUP BY file)"
 
 
-@q("JN16_large_changes", f"WITH {_STABLE} SELECT commit_id, 'stability' AS family, 'note' AS severity, file, ins || ' lines, ' || commits || ' commits' AS detail FROM changes JOIN h USING (file) WHERE ins >= 45 AND lines / commits < 28", "changes")
+@q("JN16_large_changes", f"WITH {_STABLE} SELECT commit_id, 'stability' AS family, 'note' AS severity, file, ins || ' lines, ' || commits || ' commits' AS detail FROM changes JOIN h USING (file) WHERE ins >= 48 AND lines / commits < 29.5", "changes")
 def _(s, d):
     c = B.changes(s, d)
-    calm = H.file_history(c).withColumn("stability", F.when(F.col("lines") / F.col("commits") < 28, "stable"))
-    return K.large_changes(c, calm, 45)
+    calm = H.file_history(c).withColumn("stability", F.when(F.col("lines") / F.col("commits") < 29.5, "stable"))
+    return K.large_changes(c, calm, 48)
 
 
 @q("JN17_frozen", "SELECT commit_id, 'intent' AS family, 'hold' AS severity, repo || ':' || file AS file, 'frozen' AS detail FROM touched WHERE starts_with(file, 'vendor/') OR starts_with(file, 'third_party/')", "touched")
@@ -300,12 +300,13 @@ def _(s, d):
     return out.select("metric", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"), "delta", "verdict")
 
 
-_TWO = "a AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS t FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS t FROM orders WHERE o_orderkey % 7 <> 0)"
+_TWO = "a AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderstatus AS t FROM orders WHERE o_orderpriority <> '1-URGENT'), b AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderpriority = '3-MEDIUM' THEN 'X' ELSE o_orderstatus END AS t FROM orders WHERE o_orderpriority <> '5-LOW')"
 
 
 def _two(s, d):
-    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("t"))
-    return o.filter("k % 5 <> 0"), o.filter("k % 7 <> 0").withColumn("t", F.when(F.col("k") % 3 == 0, "X").otherwise(F.col("t")))
+    """Two versions of the orders: one lacks the urgent ones; the other lacks the low ones and changes the medium ones."""
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("t"), F.col("o_orderpriority").alias("p"))
+    return o.filter("p <> '1-URGENT'").drop("p"), o.filter("p <> '5-LOW'").withColumn("t", F.when(F.col("p") == "3-MEDIUM", "X").otherwise(F.col("t"))).drop("p")
 
 
 @q("JN32_entity_diff", f"WITH {_TWO} SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'ADD' WHEN b.k IS NULL THEN 'REMOVE' ELSE 'MODIFY' END AS change FROM a FULL JOIN b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL OR a.t <> b.t")
@@ -324,11 +325,11 @@ def _(s, d):
     return M.overlapping(rows, ["agent"], "created_at", "expires_at").select("lock_id")
 
 
-@q("SET09_three_way", "WITH base AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_orderkey % 3 = 0), o AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_orderkey % 400 = 1), t AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_orderkey % 400 = 2) SELECT k FROM base WHERE k IN (SELECT k FROM o) AND k IN (SELECT k FROM t) UNION SELECT k FROM o WHERE k NOT IN (SELECT k FROM base) UNION SELECT k FROM t WHERE k NOT IN (SELECT k FROM base)")
+@q("SET09_three_way", "WITH base AS (SELECT c_custkey AS k FROM customer WHERE c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY')), o AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0), t AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 15) SELECT k FROM base WHERE k IN (SELECT k FROM o) AND k IN (SELECT k FROM t) UNION SELECT k FROM o WHERE k NOT IN (SELECT k FROM base) UNION SELECT k FROM t WHERE k NOT IN (SELECT k FROM base)")
 def _(s, d):
-    item = table(s, d, "lineitem")
-    pick = lambda w: item.filter(w).select(F.col("l_suppkey").alias("k")).distinct()
-    return M.three_way(pick("l_orderkey % 3 = 0"), pick("l_orderkey % 400 = 1"), pick("l_orderkey % 400 = 2"), ["k"])
+    c = table(s, d, "customer")
+    pick = lambda w: c.filter(w).select(F.col("c_custkey").alias("k"))
+    return M.three_way(pick("c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'MACHINERY')"), pick("c_acctbal > 0"), pick("c_nationkey < 15"), ["k"])
 
 
 @q("WIN17_latest_wins", "SELECT user_id, event_type, value, n - 1 AS superseded FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE k = 1")

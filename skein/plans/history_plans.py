@@ -111,10 +111,6 @@ def _(s, d):
     return G.degrees(B.edges(s, d))
 
 
-_ROOTS = "SELECT id FROM nodes WHERE id % 10 = 0"
-_REACH = f"RECURSIVE r(root, node) AS (SELECT n.id, e.dst FROM ({_ROOTS}) n JOIN edges e ON e.src = n.id UNION SELECT r.root, e.dst FROM r JOIN edges e ON e.src = r.node)"
-
-
 @q("GR01_dependencies", "WITH RECURSIVE r(root, node) AS (SELECT src, dst FROM edges UNION SELECT r.root, e.dst FROM r JOIN edges e ON e.src = r.node) SELECT root, count(*) AS n FROM r GROUP BY root", "edges")
 def _(s, d):
     return G.closure(B.edges(s, d), B.nodes(s, d)).groupBy("root").agg(F.count("*").alias("n"))
@@ -166,11 +162,11 @@ def _(s, d):
     return G.clusters(e, G.hubs(e, B.nodes(s, d)))
 
 
-@q("AGG13_hub_share", "SELECT dst AS id, count(*) AS importers, round(count(*) / (SELECT count(*) FROM nodes), 6) AS share FROM edges GROUP BY dst HAVING count(*) / (SELECT count(*) FROM nodes) >= 0.03", "edges", "nodes")
+@q("AGG13_hub_share", "SELECT dst AS id, count(*) AS importers, round(count(*) / (SELECT count(*) FROM nodes), 6) AS share FROM edges GROUP BY dst HAVING count(*) / (SELECT count(*) FROM nodes) >= 0.002", "edges", "nodes")
 def _(s, d):
     total = B.nodes(s, d).agg(F.count("*").alias("total"))
     out = G.in_degree(B.edges(s, d)).join(F.broadcast(total)).withColumn("share", F.col("importers") / F.col("total"))
-    return out.filter("share >= 0.03").select("id", "importers", F.round("share", 6).alias("share"))
+    return out.filter("share >= 0.002").select("id", "importers", F.round("share", 6).alias("share"))
 
 
 @q("AGG15_module_matrix", "SELECT a.module AS src_module, b.module AS dst_module, count(*) AS n FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst GROUP BY ALL", "edges", "nodes")
@@ -178,7 +174,7 @@ def _(s, d):
     return G.module_edges(B.edges(s, d), B.nodes(s, d))
 
 
-@q("JN28_absent_boundaries", "SELECT x.module AS src_module, y.module AS dst_module FROM (SELECT DISTINCT module FROM nodes) x, (SELECT DISTINCT module FROM nodes) y WHERE x.module <> y.module AND NOT EXISTS (SELECT 1 FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.module = x.module AND b.module = y.module)", "edges", "nodes")
+@q("JN28_absent_boundaries", "SELECT x.module AS src_module, y.module AS dst_module FROM (SELECT DISTINCT repo, module FROM nodes) x JOIN (SELECT DISTINCT repo, module FROM nodes) y ON x.repo = y.repo AND x.module <> y.module WHERE NOT EXISTS (SELECT 1 FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE a.module = x.module AND b.module = y.module)", "edges", "nodes")
 def _(s, d):
     return G.absent_boundaries(B.edges(s, d), B.nodes(s, d))
 
@@ -209,11 +205,11 @@ def _(s, d):
     return G.ghost_couplings(pairs, links)
 
 
-@q("JN29_cross_module_imports", "SELECT DISTINCT src, dst FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE b.module = 'n3' AND a.module <> 'n3'", "edges", "nodes")
+@q("JN29_cross_module_imports", "SELECT DISTINCT src, dst FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE b.module <> a.module", "edges", "nodes")
 def _(s, d):
     e, n = B.edges(s, d), B.nodes(s, d)
-    inside = n.filter("module = 'n3'").select("id")
-    return e.join(inside, e.dst == inside.id, "left_semi").join(inside, e.src == inside.id, "left_anti").distinct()
+    a, b = n.select(F.col("id").alias("src"), F.col("module").alias("a")), n.select(F.col("id").alias("dst"), F.col("module").alias("b"))
+    return e.join(a, "src").join(b, "dst").filter("a <> b").select("src", "dst").distinct()
 
 
 @q("WIN16_max_confidence", "SELECT repo, file, max(confidence) AS confidence FROM (SELECT scope_dir AS repo, file, confidence FROM rules WHERE confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) AND file IS NOT NULL AND scope_dir IS NOT NULL) GROUP BY ALL", "rules")

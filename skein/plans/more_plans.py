@@ -199,9 +199,9 @@ def _(s, d):
     return top(B.touched(s, d), "changed").join(top(B.predicted(s, d), "refreshed"), ["repo", "dir"]).select("repo", "dir", (F.col("changed") > F.col("refreshed") + 86400).alias("stale"))
 
 
-@q("JN47_related_scopes", "WITH RECURSIVE r(root, node, depth) AS (SELECT id, id, 0 FROM nodes WHERE id % 9 = 0 UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT root, count(DISTINCT node) AS n FROM r GROUP BY root", "edges", "nodes")
+@q("JN47_related_scopes", "WITH RECURSIVE r(root, node, depth) AS (SELECT id, id, 0 FROM nodes UNION SELECT root, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 3) SELECT root, count(DISTINCT node) AS n FROM r GROUP BY root", "edges", "nodes")
 def _(s, d):
-    roots = B.nodes(s, d).filter("id % 9 = 0").select("id")
+    roots = B.nodes(s, d).select("id")
     reach = G.closure(B.edges(s, d), roots, max_depth=3).select("root", "node")
     return reach.unionByName(roots.select(F.col("id").alias("root"), F.col("id").alias("node"))).distinct().groupBy("root").agg(F.count("*").alias("n"))
 

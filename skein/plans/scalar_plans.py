@@ -107,8 +107,8 @@ def _(s, d):
     return ends.groupBy("id").agg(F.count("*").alias("n")).select("id", S.gravity_label("n").alias("gravity"))
 
 
-_ROUTES = "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '/api/v1/' WHEN 1 THEN '/api/' WHEN 2 THEN '/' ELSE '/v3/' END || lower(split_part(p_type, ' ', 1)) || CASE p_size % 3 WHEN 0 THEN '/{id}' WHEN 1 THEN '/<int:key>/items' ELSE '' END AS route, CASE p_size % 5 WHEN 0 THEN 'ALL' WHEN 1 THEN 'get' ELSE 'POST' END AS method, upper(left(lower(split_part(p_type, ' ', 1)), 1)) || substr(lower(split_part(p_type, ' ', 1)), 2) || CASE WHEN p_size % 2 = 0 THEN 'ViewSet' ELSE '' END AS handler FROM part WHERE p_partkey % 2 = 0"
-_CALLS = "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN '/api/v1/' WHEN 1 THEN '/' ELSE '/my-' END || lower(split_part(p_type, ' ', 1)) || CASE p_size % 4 WHEN 0 THEN '/' || p_size WHEN 1 THEN '/7/items' ELSE '' END AS call, CASE p_size % 2 WHEN 0 THEN 'GET' ELSE 'post' END AS method FROM part WHERE p_partkey % 2 = 1"
+_ROUTES = "SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN '/api/v1/' WHEN 1 THEN '/api/' WHEN 2 THEN '/' ELSE '/v3/' END || lower(split_part(p_type, ' ', 1)) || CASE p_size % 3 WHEN 0 THEN '/{id}' WHEN 1 THEN '/<int:key>/items' ELSE '' END AS route, CASE p_size % 5 WHEN 0 THEN 'ALL' WHEN 1 THEN 'get' ELSE 'POST' END AS method, upper(left(lower(split_part(p_type, ' ', 1)), 1)) || substr(lower(split_part(p_type, ' ', 1)), 2) || CASE WHEN p_size % 2 = 0 THEN 'ViewSet' ELSE '' END AS handler FROM part WHERE p_size <= 25"
+_CALLS = "SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN '/api/v1/' WHEN 1 THEN '/' ELSE '/my-' END || lower(split_part(p_type, ' ', 1)) || CASE p_size % 4 WHEN 0 THEN '/' || p_size WHEN 1 THEN '/7/items' ELSE '' END AS call, CASE p_size % 2 WHEN 0 THEN 'GET' ELSE 'post' END AS method FROM part WHERE p_size > 25"
 
 
 def routes(s, d):
@@ -117,14 +117,14 @@ def routes(s, d):
     k = lambda n: F.col("p_size") % n
     path = F.concat(F.when(k(4) == 0, "/api/v1/").when(k(4) == 1, "/api/").when(k(4) == 2, "/").otherwise("/v3/"), word, F.when(k(3) == 0, "/{id}").when(k(3) == 1, "/<int:key>/items").otherwise(""))
     method = F.when(k(5) == 0, "ALL").when(k(5) == 1, "get").otherwise("POST")
-    return table(s, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), path.alias("route"), method.alias("method"), F.concat(F.initcap(word), F.when(k(2) == 0, "ViewSet").otherwise("")).alias("handler"))
+    return table(s, d, "part").filter("p_size <= 25").select(F.col("p_partkey").alias("id"), path.alias("route"), method.alias("method"), F.concat(F.initcap(word), F.when(k(2) == 0, "ViewSet").otherwise("")).alias("handler"))
 
 
 def calls(s, d):
     word = F.lower(F.substring_index("p_type", " ", 1))
     k = lambda n: F.col("p_size") % n
     path = F.concat(F.when(k(3) == 0, "/api/v1/").when(k(3) == 1, "/").otherwise("/my-"), word, F.when(k(4) == 0, F.concat(F.lit("/"), F.col("p_size").cast("string"))).when(k(4) == 1, "/7/items").otherwise(""))
-    return table(s, d, "part").filter("p_partkey % 2 = 1").select(F.col("p_partkey").alias("id"), path.alias("call"), F.when(k(2) == 0, "GET").otherwise("post").alias("method"))
+    return table(s, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("id"), path.alias("call"), F.when(k(2) == 0, "GET").otherwise("post").alias("method"))
 
 
 _RX = "'^' || regexp_replace(regexp_replace(route, '[{][^}]+[}]', '[^/]+', 'g'), '<[^>]+>', '[^/]+', 'g') || '$'"
@@ -191,7 +191,7 @@ def _(s, d):
     return lines.filter(F.col("line").rlike("^##[^#]")).groupBy("doc_id").agg(F.count("*").alias("n_sections"))
 
 
-_MD = """WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS no, unnest(p) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS p FROM documents WHERE doc_kind = 'readme' AND text IS NOT NULL)),
+_MD = """WITH l AS (SELECT doc_id, generate_subscripts(p, 1) AS no, unnest(p) AS line FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS p FROM documents WHERE text IS NOT NULL)),
 g AS (SELECT *, sum(CASE WHEN starts_with(line, '#') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS sec FROM l)
 SELECT doc_id, CAST(sec AS BIGINT) AS section, CASE WHEN sec = 0 THEN 'Introduction' ELSE trim(ltrim(max(CASE WHEN starts_with(line, '#') THEN line END), '#'), ' ') END AS heading, CAST(sum(CASE WHEN starts_with(line, '#') THEN 0 ELSE 1 END) AS BIGINT) AS body_lines
 FROM g GROUP BY doc_id, sec HAVING sum(CASE WHEN starts_with(line, '#') THEN 0 ELSE 1 END) > 0"""
@@ -201,7 +201,7 @@ FROM g GROUP BY doc_id, sec HAVING sum(CASE WHEN starts_with(line, '#') THEN 0 E
 def _(s, d):
     from ..operators.textops import markdown_sections
 
-    docs = table(s, d, "documents").filter("doc_kind = 'readme' and text is not null")
+    docs = table(s, d, "documents").filter("text is not null")
     return markdown_sections(docs, "doc_id", "text")
 
 

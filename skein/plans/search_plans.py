@@ -184,10 +184,10 @@ def _(s, d):
     return C.match_tasks(B.sessions(s, d).filter("task is not null"), "session_id", "task", scope_dim(s, d))
 
 
-@q("JN30_overlay", "WITH t AS (SELECT repo, count(*) AS n FROM commits WHERE repo IS NOT NULL GROUP BY repo), r AS (SELECT repo, count(*) AS n FROM sessions WHERE repo IS NOT NULL GROUP BY repo HAVING count(*) % 2 = 0) SELECT repo, coalesce(r.n, t.n) AS n, CASE WHEN r.n IS NULL THEN 'tracked' ELSE 'runtime' END AS source FROM t FULL JOIN r USING (repo)", "commits", "sessions")
+@q("JN30_overlay", "WITH t AS (SELECT repo, count(*) AS n FROM commits WHERE repo IS NOT NULL GROUP BY repo), r AS (SELECT repo, count(*) AS n FROM sessions WHERE repo IS NOT NULL GROUP BY repo HAVING count(*) >= 300) SELECT repo, coalesce(r.n, t.n) AS n, CASE WHEN r.n IS NULL THEN 'tracked' ELSE 'runtime' END AS source FROM t FULL JOIN r USING (repo)", "commits", "sessions")
 def _(s, d):
     t = B.commits(s, d).filter("repo is not null").groupBy("repo").agg(F.count("*").alias("n"))
-    r = B.sessions(s, d).filter("repo is not null").groupBy("repo").agg(F.count("*").alias("n")).filter("n % 2 = 0")
+    r = B.sessions(s, d).filter("repo is not null").groupBy("repo").agg(F.count("*").alias("n")).filter("n >= 300")
     return C.overlay(t, r, "repo")
 
 
