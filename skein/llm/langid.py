@@ -80,15 +80,14 @@ class Model:
 
     def classify(self, text: str) -> tuple[str | None, float]:
         """The best language and its posterior; none without a word."""
-        words = self.words(text)
+        return self.classify_words(self.words(text))
+
+    def classify_words(self, words: list[str]) -> tuple[str | None, float]:
         if not words:
             return None, 0.0
-        total = [0.0] * self.n
-        for w in words:
-            for i, x in enumerate(self.word(w)):
-                total[i] += x
-        top = max(range(self.n), key=lambda i: (total[i], -i))
-        most = total[top]
+        total = list(map(sum, zip(*map(self.word, words))))
+        most = max(total)
+        top = total.index(most)
         return self.languages[top], 1.0 / sum(math.exp(max(-60.0, x - most)) for x in total)
 
 
@@ -110,7 +109,8 @@ _ITEM = re.compile(r"(?:[-*+•‣◦]|\d{1,3}[.)])\s")
 _HEADER = re.compile(r"[\w./-]+(?:\([^)]*\))?!?:(?:\s|$)")
 _CODE = re.compile(r"(?:[;{}\[(]|=>|->|\\)\s*$|[=(){}\[\]<>\"].*,\s*$|^\s*[})\]]|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|public|private|protected|static|package|use|if|for|while|else|elif|try|except|async|await|export|type|interface|struct|enum|impl|match|case|switch|raise|throw|with)\b[^.!?]*[({:=;]|\w\(\)|[=!<>]=|&&|\|\||::")
 _SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?![\s\"'”’»)\]*_]|$)[^.!?。！？]*)*(?:[.!?。！？]+[\"'”’»)\]*_]*)(?=\s|$|(?<=[。！？]))")
-_INLINE = re.compile(r"`[^`]*`|https?://\S+|\S*[/\\]\S*|\[[^\]]*\]\([^)]*\)|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b|\[[\d.]+\]|<[^>]*>")
+_CODED = re.compile(r"[`/\\_<\[]|[a-z][A-Z]").search
+_INLINE = re.compile(r"`[^`]*`|https?://\S+|(?<!\S)[^\s/\\]*[/\\]\S*|\[[^\]]*\]\([^)]*\)|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b|\[[\d.]+\]|<[^>]*>")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -167,8 +167,8 @@ def sentences(passage: str) -> list[str]:
 
 def full_sentence(sentence: str, least_words: int = 5, least_wide: int = 8) -> str | None:
     """The words of a sentence of prose, without inline code, paths and names of code; None if it is too short for one."""
-    plain = _INLINE.sub(" ", sentence)
-    if len(_WIDE.findall(plain)) >= least_wide or len(_WORD.findall(plain)) >= least_words:
+    plain = _INLINE.sub(" ", sentence) if _CODED(sentence) else sentence
+    if len(_WORD.findall(plain)) >= least_words or not plain.isascii() and len(_WIDE.findall(plain)) >= least_wide:
         return plain
     return None
 
@@ -202,8 +202,9 @@ def segments(model: Model, text: str | None) -> list[tuple[str, float, int, int]
                 if out and not fresh:
                     out[-1][3] += len(_WORD.findall(sentence))
                 continue
-            lang, sure = model.classify(plain)
-            n = len(_WORD.findall(plain)) or 1
+            words = model.words(plain)
+            lang, sure = model.classify_words(words)
+            n = len(words) or 1
             if out and not fresh and out[-1][0] == lang:
                 out[-1][1] = (out[-1][1] * out[-1][2] + sure) / (out[-1][2] + 1)
                 out[-1][2] += 1
