@@ -75,7 +75,7 @@ _NOTICE = re.compile(
 )
 _STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
 _DATA = re.compile(r"\"[^\"\\\s]*\"|'[^'\\\s]*'|`[^`\\\s]*`|\"(?:[^\"\\\n]|\\[xu0-7nrt\\\"])*\"(?=\s*[,:\]})])|[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLfF]?\w{0,3}")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_PUNCTUATION = str.maketrans("", "", " ,[](){}:;=+\t")
 _IDENT = re.compile(r"[^\W\d]\w*")
 _COUNTED = re.compile(r"(?<!\w)([A-Za-z_]\w*?)_?(\d{2,5})\b")
 _KEYWORDS = frozenset("var let const function return for in if else new void this null true false def lambda class import from of while do switch case break static public private final int long fn pub func type package".split())
@@ -89,9 +89,11 @@ def _data_share(text: str) -> tuple[float, int]:
         if not bare:
             continue
         total += len(bare)
-        taken = sum(len(m) for m in _DATA.findall(bare))
-        rest = len(bare) - taken - sum(bare.count(c) for c in " ,[](){}:;=+\t")
-        if taken >= 8 and rest <= max(3, 0.15 * len(bare)):
+        taken = sum(map(len, _DATA.findall(bare)))
+        if taken < 8:
+            continue
+        rest = len(bare.translate(_PUNCTUATION)) - taken
+        if rest <= max(3, 0.15 * len(bare)):
             data += len(bare)
         elif taken > 200 and taken > 0.8 * len(bare):
             data += taken
@@ -161,7 +163,7 @@ def evidence(repo: str | None, path: str | None, content: str) -> list[float]:
         out[4] += 8
     elif share > 0.4 and size > 300:
         out[4] += 2
-    blank = sum(c.isspace() for c in content) / max(1, len(content))
+    blank = 1 - len("".join(content.split())) / len(content) if content else 0.0
     lines = [x for x in content.split("\n") if x.strip()]
     longest = max(map(len, lines), default=0)
     mean = len(content) / max(1, len(lines))
