@@ -13,43 +13,48 @@ from __future__ import annotations
 _CHAINS = 300_000
 
 
-def _advance(tables: dict, frontier: list, term: int) -> list:
-    """All stacks after every possible reduction and the shift of ``term``."""
+def _advance(tables: dict, frontier: list, term: int, interned: dict) -> list:
+    """All stacks after every possible reduction and the shift of ``term``.
+
+    ``interned`` holds the stacks built since the fork by state and identity of
+    what lies below; so equal stacks are one object, and what it holds stays
+    alive, which keeps identities unique.
+    """
     actions, gotos, lhs, sizes = tables["actions"], tables["gotos"], tables["lhs"], tables["sizes"]
-    intern: dict = {}
     seen: set[int] = set()
-    out: dict = {}
+    out: dict[int, tuple] = {}
     todo = list(frontier)
-    keep = []
     while todo:
         node = todo.pop()
-        if id(node) in seen:
-            continue
-        seen.add(id(node))
-        keep.append(node)  # ids stay unique while the nodes live
-        acts = actions[node[0]].get(term)
-        if acts is None:
-            continue
-        for a in (acts,) if type(acts) is int else acts:
-            if a >= 0:
-                out.setdefault((a, id(node)), (a, node))
-                continue
-            r = -a - 1
-            base = node
-            for _ in range(sizes[r]):
-                base = base[1]
-            state = gotos[base[0]][lhs[r]]
-            key = (state, id(base))
-            if key not in intern:
-                intern[key] = (state, base)
-                keep.append(base)
-                todo.append(intern[key])
-    # Stacks of the same states are one, though they were built apart.
-    if len(out) > 1:
-        merged: dict = {}
-        for node in out.values():
-            merged.setdefault(_states(node), node)
-        return list(merged.values())
+        while id(node) not in seen:
+            seen.add(id(node))
+            acts = actions[node[0]].get(term)
+            if acts is None:
+                break
+            after = None
+            for a in (acts,) if type(acts) is int else acts:
+                if a >= 0:
+                    key = (a, id(node))
+                    made = interned.get(key)
+                    if made is None:
+                        made = interned[key] = (a, node)
+                    out[id(made)] = made
+                    continue
+                r = -a - 1
+                base = node
+                for _ in range(sizes[r]):
+                    base = base[1]
+                key = (gotos[base[0]][lhs[r]], id(base))
+                made = interned.get(key)
+                if made is None:
+                    made = interned[key] = (key[0], base)
+                if after is None:
+                    after = made
+                else:
+                    todo.append(made)
+            if after is None:
+                break
+            node = after
     return list(out.values())
 
 
@@ -86,7 +91,8 @@ def first_error(tables: dict, terms: list[int], inserted: int = -1, may_insert=N
                     many = []
                     break
                 if type(a) is not int:
-                    many = _advance(tables, [node], term)
+                    interned: dict = {}
+                    many = _advance(tables, [node], term, interned)
                     break
                 if a >= 0:
                     node = (a, node)
@@ -119,15 +125,16 @@ def first_error(tables: dict, terms: list[int], inserted: int = -1, may_insert=N
                 if _accepts(tables, before):
                     return -1
             else:
-                many = _advance(tables, before, term)
+                many = _advance(tables, before, term, interned)
         if many is not None:
             if not many and inserted >= 0 and may_insert(i):
-                patched = _advance(tables, before, inserted)
+                interned = {}
+                patched = _advance(tables, before, inserted, interned)
                 if term == 0:
                     if _accepts(tables, patched):
                         return -1
                 elif patched:
-                    many = _advance(tables, patched, term)
+                    many = _advance(tables, patched, term, interned)
             if not many:
                 return i
             if len(many) == 1:
