@@ -29,8 +29,6 @@ from pyspark.sql import types as T
 
 from ..common import checkpointed, scratch_path, shuffle_parts
 
-_ROW_GROUP_BYTES = 256 << 10
-
 
 def _opened(path: str):
     import pyarrow.parquet as pq
@@ -93,7 +91,7 @@ def _survivors(keys: list[str], n: int, edge: bool):
     return read
 
 
-def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: int, partitions: int | None = None) -> DataFrame:
+def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: int, partitions: int | None = None, row_group_bytes: int = 256 << 10) -> DataFrame:
     """The ``n`` rows of each group with the highest score: (groups, tie, score).
 
     At equal scores the smaller ``tie`` wins; ``tie`` must be unique in its
@@ -101,6 +99,8 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: i
     tie, or a null or NaN score drop out; +-infinity are ordinary scores.
     Smaller groups give all their rows; an empty input gives an empty result.
     Only the named columns are read, so others may have any name.
+    ``row_group_bytes`` sets how fine the statistics are; a row group costs a
+    line of them, so larger tables want larger ones.
     """
     spark = df.sparkSession
     keys = [f"_k{i}" for i in range(len(groups))]
@@ -111,7 +111,7 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: i
     order = [F.col("_g"), *[F.col(k) for k in keys], F.col("_score").desc(), F.col("_tie")]
     path = scratch_path(spark, "topn")
     parts = partitions or shuffle_parts(spark)
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("parquet.block.size", _ROW_GROUP_BYTES).parquet(path)
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("parquet.block.size", row_group_bytes).parquet(path)
 
     schema = T.StructType([T.StructField("_g", T.LongType()), *[T.StructField(k, T.StringType()) for k in keys], T.StructField("_score", T.DoubleType()), T.StructField("_tie", T.LongType())])
     files = spark.read.schema(schema).parquet(path).inputFiles()
