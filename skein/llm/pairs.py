@@ -121,8 +121,13 @@ def pairs_above_chance(
     rows = each.join(named, [*gk, "_item"]).select(
         "gid", "item", "blk", "ib", "rec", F.pmod(F.xxhash64("rec"), "rbs").cast("int").alias("rb"), F.when(F.col("rbs") == 1, min_count).otherwise(1).alias("least")
     )
-    # The blocks each occurrence takes part in: (blk, j) on the left and (i, blk) on the right.
-    tiled = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("ib") - 1))).select(
+    # The blocks each occurrence takes part in: (blk, j) on the left and (i, blk) on the right, for the blocks j and i
+    # its own record has items in.  So a group of many blocks costs what its baskets hold, not the square of its blocks.
+    one = rows.filter("ib = 1").withColumn("other", F.lit(0))
+    whole = rows.filter("ib > 1").groupBy("gid", "rb", "rec", "least").agg(F.collect_list(F.struct("item", "blk")).alias("xs"))
+    several = whole.withColumn("x", F.explode("xs")).withColumn("other", F.explode(F.array_distinct(F.transform("xs", lambda x: x["blk"]))))
+    put = ["gid", "rb", "rec", "least", "item", "blk", "other"]
+    tiled = one.select(*put).unionByName(several.select("gid", "rb", "rec", "least", "x.item", "x.blk", "other")).select(
         "gid", "rb", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), (F.col("blk") > F.col("other")).cast("int").alias("side"), "rec", "item", "least"
     )
     cell = ["gid", "rb", "bi", "bj"]
