@@ -334,3 +334,51 @@ def _(s, d):
 def _(s, d):
     one = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("log"), "n")
     return one(B.sessions(s, d), "sessions").unionByName(one(B.commits(s, d), "commits")).unionByName(one(B.rules(s, d), "rules"))
+
+
+@q("VEC06_search_in_budget", f"WITH {P._BM25}, top AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50), t AS (SELECT doc_id, score, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM top JOIN documents USING (doc_id)) SELECT doc_id, tokens, used FROM (SELECT doc_id, tokens, sum(tokens) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM t) WHERE used <= 3000")
+def _(s, d):
+    docs = table(s, d, "documents")
+    hits = R.bm25(docs, "doc_id", "text", P.QUERY, 50).join(docs.select("doc_id", S.tokens_estimate("text").alias("tokens")), "doc_id")
+    # At most 50 rows reach the running sum.
+    return R.prefix_fill(hits.withColumn("g", F.lit(0)), ["g"], [F.desc("score"), F.col("doc_id")], "tokens", 3000).select("doc_id", "tokens", "used")
+
+
+@q("AGG52_bindings", "SELECT provider, consumer, count(*) AS n, max(confidence) AS confidence FROM (SELECT scope_dir AS provider, file AS consumer, CASE WHEN confidence BETWEEN 0 AND 1 AND NOT isnan(confidence) THEN confidence ELSE 1.0 END AS confidence FROM rules WHERE category = 'contract' AND scope_dir IS NOT NULL AND file IS NOT NULL) GROUP BY ALL", "rules")
+def _(s, d):
+    r = B.rules(s, d).filter("category = 'contract' and scope_dir is not null and file is not null")
+    known = F.when(F.col("confidence").between(0, 1), F.col("confidence")).otherwise(1.0)
+    return r.groupBy(F.col("scope_dir").alias("provider"), F.col("file").alias("consumer")).agg(F.count("*").alias("n"), F.max(known).alias("confidence"))
+
+
+@q("FN54_decorated", r"SELECT file_id, d AS decorator, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all(content, '(?m)^\s*@([A-Za-z_][\w.]*)', 1)) AS d FROM files WHERE path LIKE '%.py' OR path LIKE '%.java') GROUP BY ALL", "files")
+def _(s, d):
+    f = B.files(s, d).filter("path like '%.py' or path like '%.java'")
+    return f.select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*@([A-Za-z_][\w.]*)"), F.lit(1))).alias("decorator")).groupBy("file_id", "decorator").agg(F.count("*").alias("n"))
+
+
+@q("PIPE02_scopes", f"WITH {_CF}, a AS (SELECT cf.* FROM cf JOIN n USING (file) WHERE n >= 3), p AS (SELECT x.file AS file_a, y.file AS file_b FROM a x JOIN a y ON x.commit_id = y.commit_id AND x.file < y.file GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT split_part(f, ':', 1) || '/' || CASE WHEN contains(f, '/') THEN split_part(split_part(f, ':', 2), '/', 1) ELSE '' END AS module, count(*) AS couplings FROM (SELECT file_a AS f FROM p UNION ALL SELECT file_b FROM p) GROUP BY module), z AS (SELECT repo || '/' || CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS module, count(*) AS n_files, sum(floor(length(content) / 4))::BIGINT AS tokens FROM files GROUP BY module) SELECT module, n_files, tokens, coalesce(couplings, 0) AS couplings FROM z LEFT JOIN c USING (module)", "touched", "files")
+def _(s, d):
+    pairs = H.pair_counts(H.active(obs(s, d), 3)).filter("n_ab >= 3")
+    ends = pairs.select(F.col("file_a").alias("f")).unionAll(pairs.select("file_b"))
+    inside = F.substring_index(F.col("f"), ":", -1)
+    top = lambda p: F.when(F.instr(p, "/") > 0, F.substring_index(p, "/", 1)).otherwise("")
+    c = ends.groupBy(F.concat(F.substring_index("f", ":", 1), F.lit("/"), top(inside)).alias("module")).agg(F.count("*").alias("couplings"))
+    rows = B.latest(table(s, d, "file_analyses").select("file_id", "repo", "path", S.tokens_estimate("content").alias("t"), "recorded_at"), ["file_id"])
+    z = rows.groupBy(F.concat("repo", F.lit("/"), top(F.col("path"))).alias("module")).agg(F.count("*").alias("n_files"), F.sum("t").alias("tokens"))
+    return z.join(c, "module", "left").na.fill(0, ["couplings"])
+
+
+@q("TOP06_trim", "SELECT session_id, f AS file FROM (SELECT session_id, unnest(predicted_files[1:12]) AS f FROM sessions) WHERE f IS NOT NULL", "sessions")
+def _(s, d):
+    return B.sessions(s, d).select("session_id", F.explode(F.slice("predicted_files", 1, 12)).alias("file")).filter("file is not null")
+
+
+@q("FN35_decay", "SELECT file, n, CAST(CASE WHEN n <= 3 THEN 1.0 ELSE greatest(1.0 - 0.1 * (n - 3), 0.3) END AS DOUBLE) AS confidence FROM (SELECT file, count(*) AS n FROM touched GROUP BY file)", "touched")
+def _(s, d):
+    return B.touched(s, d).groupBy("file").agg(F.count("*").alias("n")).select("file", "n", S.decayed(F.lit(1.0), "n").alias("confidence"))
+
+
+@q("FN38_risk", "SELECT commit_id, CASE WHEN n <= 3 THEN 'LOW' WHEN n <= 10 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM (SELECT commit_id, count(*) AS n FROM touched GROUP BY commit_id)", "touched")
+def _(s, d):
+    return B.touched(s, d).groupBy("commit_id").agg(F.count("*").alias("n")).select("commit_id", S.risk("n").alias("risk"))

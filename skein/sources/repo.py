@@ -51,6 +51,16 @@ def git_numstat(spark: SparkSession, path: str, max_commits: int | None = None)
     return out.drop("no")
 
 
+def name_status(df: DataFrame, key: str, text: str) -> DataFrame:
+    """SRC10: (key, change, path, old) of ``git diff --name-status`` output; a rename has both paths."""
+    cells = F.split("line", "\t")
+    lines = df.select(key, F.explode(F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")).alias("line")).filter(F.col("line").rlike(r"^[ACDMRT]\d*\t"))
+    kind = F.substring("line", 1, 1)
+    moved = kind.isin("R", "C")
+    change = F.when(kind == "A", "added").when(kind == "D", "deleted").when(kind == "R", "renamed").when(kind == "C", "copied").otherwise("changed")
+    return lines.select(key, change.alias("change"), F.when(moved, F.try_element_at(cells, F.lit(3))).otherwise(F.try_element_at(cells, F.lit(2))).alias("path"), F.when(moved, F.try_element_at(cells, F.lit(2))).alias("old"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, bad: str = "skip") -> DataFrame:
     """SRC14-15: JSON lines; bad lines are skipped, or with bad="keep" come out with nulls."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if bad == "skip" else "PERMISSIVE").json(path)

@@ -42,6 +42,11 @@ def test_numstat(spark, tmp_path):
     assert repo.git_numstat(spark, str(tmp_path / "log"), 1).select("hash").distinct().count() == 1
 
 
+def test_name_status(spark):
+    df = spark.createDataFrame([(1, "M\ta.py\nA\tb.py\r\nD\tc.py\nR090\told.py\tnew.py\nnoise\n"), (2, None)], "k long, t string")
+    assert [(r.change, r.path, r.old) for r in repo.name_status(df, "k", "t").collect()] == [("changed", "a.py", None), ("added", "b.py", None), ("deleted", "c.py", None), ("renamed", "new.py", "old.py")]
+
+
 def test_jsonl_skips_bad_lines(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"id": 1}\nbroken\n{"id": 2}\n')
     assert sorted(r.id for r in repo.read_jsonl(spark, str(tmp_path / "l.jsonl"), "id long").collect()) == [1, 2]
