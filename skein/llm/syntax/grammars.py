@@ -50,8 +50,12 @@ comp : ('async'? 'for' targets 'in' binary ('if' cond)*)+
 cond : binary | lambda | name ':=' binary
 slices : slice %% ','
 slice : starnamed | expr? ':' expr? (':' expr?)?
-args : arg %% ','
-arg : named comp? | '*' expr | '**' expr | name '=' expr
+args : posarg %% ',' | posarg % ',' ',' keywords | keywords | named comp
+posarg : named | '*' expr
+keywords : keytail | keystar % ',' ',' keytail | keystar %% ','
+keytail : keydouble %% ','
+keystar : name '=' expr | '*' expr
+keydouble : name '=' expr | '**' expr
 compound : decorator* 'async'? 'def' name tparams? '(' (param %% ',')? ')' ('->' expr)? ':' block
   | decorator* 'class' name tparams? ('(' args? ')')? ':' block
   | 'if' named ':' block elif* else? | 'while' named ':' block else?
@@ -306,29 +310,22 @@ attrs : ('with' | 'assert') '{' (((name | STRING) ':' STRING) %% ',')? '}'
 export : 'export' «type» named ('from' STRING attrs?)? semi | 'export' «type» '*' ('as' xname)? 'from' STRING attrs? semi | 'export' decl | 'export' vars semi
   | 'export' 'default' (assignD semi | function | class) «export»
 decl : function | class «decl»
-stmt : block | vars semi | decl | ';' | exprS semi | 'if' '(' expr ')' stmt ('else' stmt)?
-  | 'for' 'await'? '(' forinit? ';' expr? ';' expr? ')' stmt | 'for' 'await'? '(' (varkind binding | call) ('of' assign | 'in' expr) ')' stmt
-  | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' (';' | ASI)? | 'continue' ident? semi | 'break' ident? semi | 'return' expr? semi | 'with' '(' expr ')' stmt
-  | 'switch' '(' expr ')' '{' case* '}' | ident ':' stmt | 'throw' expr semi | 'try' block (catch finally? | finally) | 'debugger' semi
-block : '{' stmt* '}'
-case : ('case' expr | 'default') ':' stmt*
-catch : 'catch' ('(' binding «ann» ')')? block
-finally : 'finally' block
+@statements@
 varkind : 'var' | 'let' | 'const' | 'using'
-vars : varkind declarator % ','
-declarator : binding «bang» «ann» ('=' assign)?
+«vars»
 forinit : vars | expr
-binding : ident | '{' ((bprop) %% ',')? '}' | '{' (bprop % ',' ',')? '...' ident '}' | '[' belems? ']'
+binding : ident | pattern
+pattern : '{' ((bprop) %% ',')? '}' | '{' (bprop % ',' ',')? '...' ident '}' | '[' belems? ']'
 bprop : ident ('=' assign)? | propname ':' binding ('=' assign)?
 belems : ','+ | ','* belem (','+ belem)* ','*
 belem : binding ('=' assign)? | '...' binding
 params : (param % ',')? | param % ',' ',' | (param % ',' ',')? rest
 param : «pmods» binding «opt» «ann» ('=' assign)?
 rest : «decos» '...' binding «ann»
-function : 'async'? 'function' '*'? ident? «tparams» '(' params ')' «ret» block
+function : 'async'? 'function' '*'? ident? «tparams» '(' params ')' «ret» blockF
 class : «decos» 'class' ident? «tparams» ('extends' call «targs»)? «impl» '{' member* '}'
 member : ';' | «mods» method | «mods» propname «optbang» «ann» ('=' assign)? semi | 'static' block «member»
-method : ('async'? '*'? | 'get' | 'set') propname «opt» «tparams» '(' params ')' «ret» block
+method : ('async'? '*'? | 'get' | 'set') propname «opt» «tparams» '(' params ')' «ret» blockF
 propname : name | STRING | NUMBER | '[' assign ']' | PRIVATE
 expr : assign % ','
 exprS : assignS | assignS ',' expr
@@ -337,7 +334,7 @@ assignS : condS | callS assignop assign | arrow | yield «assign»
 assignD : cond | call assignop assign | arrow | yield «assign»
 yield : 'yield' | 'yield' '*'? assign
 arrow : 'async'? ident '=>' abody | 'async'? «tparams» '(' params ')' «ret» '=>' abody
-abody : block | assignS | function | class
+abody : blockF | assignS | function | class
 assignop : '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '<' '<=' | '>' '>=' | '>' '>' '>=' | '>>=' | '>>>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
 cond : binary | binary '?' assign ':' assign
 condS : binaryS | binaryS '?' assign ':' assign
@@ -419,14 +416,34 @@ sig : tparams? '(' params ')' ret?
 """
 
 
+#: Statements outside (no suffix) and inside (F) of functions: only there may they return.
+_STATEMENTS = r"""
+stmt@ : block@ | vars semi | decl | ';' | exprS semi | 'if' '(' expr ')' stmt@ ('else' stmt@)?
+  | 'for' 'await'? '(' forinit? ';' expr? ';' expr? ')' stmt@ | 'for' 'await'? '(' (varkind binding | call) ('of' assign | 'in' expr) ')' stmt@
+  | 'while' '(' expr ')' stmt@ | 'do' stmt@ 'while' '(' expr ')' (';' | ASI)? | 'continue' ident? semi | 'break' ident? semi | 'with' '(' expr ')' stmt@
+  | 'switch' '(' expr ')' '{' case@* '}' | ident ':' stmt@ | 'throw' expr semi | 'try' block@ (catch@ finally@? | finally@) | 'debugger' semi
+block@ : '{' stmt@* '}'
+case@ : ('case' expr | 'default') ':' stmt@*
+catch@ : 'catch' ('(' binding «ann» ')')? block@
+finally@ : 'finally' block@
+"""
+
+
 def _script(slots: dict[str, str], more: str = "") -> str:
     import re
 
-    return re.sub("«(\\w+)»", lambda m: slots.get(m[1], ""), _SCRIPT) + more
+    inside = _STATEMENTS.replace("@", "F").replace("| 'debugger' semi", "| 'debugger' semi | 'return' expr? semi")
+    text = _SCRIPT.replace("@statements@", _STATEMENTS.replace("@", "") + inside)
+    return re.sub("«(\\w+)»", lambda m: slots.get(m[1], ""), text) + more
 
 
-JAVASCRIPT = _script({"mods": "'static'?"})
-TYPESCRIPT = _script(_TYPED, _TYPES)
+_STRICT_VARS = """vars : ('var' | 'let' | 'using') declarator % ',' | 'const' constant % ','
+declarator : ident ('=' assign)? | pattern '=' assign
+constant : binding '=' assign"""
+_TYPED_VARS = """vars : varkind declarator % ','
+declarator : binding '!'? (':' type)? ('=' assign)?"""
+JAVASCRIPT = _script({"mods": "'static'?", "vars": _STRICT_VARS})
+TYPESCRIPT = _script(_TYPED | {"vars": _TYPED_VARS}, _TYPES)
 #: The this parameter of TypeScript and template types need no rule of their own above.
 TYPESCRIPT = TYPESCRIPT.replace("param : decorators? pmod*", "param : 'this' (':' type)? | decorators? pmod*")
 

@@ -11,12 +11,12 @@ GOOD = {
     "python": [
         "", "# only a comment", "x = 1\n", "def f(a, *, b=2, **k) -> int:\n    return a\n", "match x:\n    case {'a': int(n), **rest} if n: pass\n    case _: pass\n", "match = type = case = 1\nprint(match)\n",
         'f"{x!r:>{w}} {{}} {y=} {z:%H:%M}"\n', "async def g():\n\tasync with a as b, c: yield\n", "try:\n  a\nexcept* E as e: b\nfinally: c\n", "class A[T: int = str](B, m=C): x: int = 3\n", "type X[T] = list[T]\n",
-        "lambda *a, k=1: (yield)\n", "if (n := 3) > 2: pass\nelse: ...\n", "a[1:2, ::3, *b] = c, *d = e\n", "x = (1,\n  # c\n  2)\n", "with (open(a) as f, b,): pass\n", "del a, (b, [c])\n", "@a.b(c)\ndef f(): pass", "print(*a, **b, c=1)", "é = 'ü'\n",
+        "lambda *a, k=1: (yield)\n", "if (n := 3) > 2: pass\nelse: ...\n", "a[1:2, ::3, *b] = c, *d = e\n", "x = (1,\n  # c\n  2)\n", "with (open(a) as f, b,): pass\n", "del a, (b, [c])\n", "@a.b(c)\ndef f(): pass", "print(*a, **b, c=1)", "f(a, *b, c=1, *d, **e, g=2,)", "f(x for x in y)", "é = 'ü'\n",
     ],
     "javascript": [
         "", "let a = 1\nlet b = 2", "const f = async ({a = 1, ...r}, [b,, c]) => ({ ...r, x() {}, get y() { return 1 }, async *z() {} })", "a = b / c / d; r = /[/]\\/x/gi.test(s)", "`a ${`b ${c}`} d`", "for await (const x of y) {}", "label: for (;;) break label",
         "class A extends B { #p = 1; static { this.x = 2 } static async *m() { yield* this.#p } }", "export default class {}\nimport x, { y as z } from 'm'; export * as n from 'k'", "a?.b?.[c]?.(d) ?? e", "if (a) b; else c\nreturn_ = 1", "x\n++y", "do x(); while (y) z()",
-        "var { a, b: [c = 1] } = d, e", "switch (a) { case 1: default: b }", "new.target; new A; new A.B(c).d", "async () => { await x }", "({ a, b } = c)", "i = 1_000n + 0x1F + .5e3", "#!/usr/bin/env node\nx", "try { a } catch { b } finally { c }",
+        "var { a, b: [c = 1] } = d, e", "switch (a) { case 1: default: b }", "new.target; new A; new A.B(c).d", "async () => { await x }", "({ a, b } = c)", "i = 1_000n + 0x1F + .5e3", "#!/usr/bin/env node\nx", "try { a } catch { b } finally { c }", "for (const a of b) { } for (let i, j; ; ) { }", "f(function () { if (a) { return } else return 1 }, () => { switch (a) { case 1: return } })",
     ],
     "typescript": [
         "let a: Array<Map<string, number>> = []", "type P<K extends string = string> = { readonly [Q in K]?: Array<{ a: Q }> } & { kind: 'a' | 'b' };", "class A { private readonly x: number = 1; constructor(private y: string[]) {} public f<T>(a?: T): a is B { return true } }",
@@ -40,8 +40,8 @@ GOOD = {
     ],
 }
 BAD = {
-    "python": ["def f(:", "x = (1", "if a\n  b", "  x = 1", "a b", "'abc", "f'{x'", "else: pass", "x = 012", "def f():\n", "return = 1", "<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b", "if a:\n    b\n  c", "f'{}'", "class A\n  pass", "x = 1 +"],
-    "javascript": ["let a = ;", "function f( {", "`abc", "a b", "class A { private x; }", "let x: number = 1", "if (a {", "{ a: 1, b: 2 }", "return }", "import x from", "'abc\n'", "/abc", "for (;;", "<!DOCTYPE html>", "a => { b", "interface A { b: c }"],
+    "python": ["def f(:", "x = (1", "if a\n  b", "  x = 1", "a b", "'abc", "f'{x'", "else: pass", "x = 012", "def f():\n", "return = 1", "<<<<<<< HEAD\nx\n=======\ny\n>>>>>>> b", "if a:\n    b\n  c", "f'{}'", "class A\n  pass", "x = 1 +", "f(a=1, b)", "f(**a, *b)", "f(x for x in y, 1)"],
+    "javascript": ["let a = ;", "function f( {", "`abc", "a b", "class A { private x; }", "let x: number = 1", "if (a {", "{ a: 1, b: 2 }", "return }", "import x from", "'abc\n'", "/abc", "for (;;", "<!DOCTYPE html>", "a => { b", "interface A { b: c }", "return 1", "if (a) { return }", "const a", "let { b }", "class A { static { return } }"],
     "typescript": ["let a: = 1", "type A = ", "interface I { a: }", "enum E { 1a }", "class A { x: number y: string }", "function f(a: string { }", "let x: Array<string = 1", "<<<<<<< HEAD"],
     "go": ["", "func f() {}", "package a\nfunc f() {", "package a\nfunc f()\n{\n}", "package a\nvar x = = 1", "package a\nx := 1", "package a\nfunc f() { if { } }", "package a\nimport \"x", "package a\nfunc f() { a b }"],
     "rust": ["fn f( {", "fn f() { let x = ; }", "struct S { a: i32 b: i32 }", "fn f() { match x { 1 = 2 } }", "use a::;", "let x = 1;", "fn f() { \"abc }", "impl T { x }", "fn f() { a b }", "enum E { A(u8 }"],
