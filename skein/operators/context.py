@@ -34,17 +34,23 @@ def flatten_calls(calls: DataFrame, exports: DataFrame, group: str, cap: int = 3
     return hit.withColumn("_k", rank).filter(F.col("_k") <= cap).select(group, "path", "name", "target")
 
 
-def preflight(claims: DataFrame, partners: DataFrame, locks: DataFrame) -> DataFrame:
+def preflight(claims: DataFrame, partners: DataFrame, locks: DataFrame, consumers: DataFrame | None = None) -> DataFrame:
     """JN38, FN39: (claim, n_partners, n_locks, risk): strong partners not claimed, files locked by others.
 
     ``claims`` has claim, agent and file; ``partners`` file and partner;
-    ``locks`` file and holder.
+    ``locks`` file and holder, and claim where a lock counts for some claims
+    only.  With ``consumers`` (file, consumer), n_consumers comes out as well.
     """
     missing = claims.join(partners, "file").select("claim", F.col("partner").alias("file")).distinct().join(claims.select("claim", "file"), ["claim", "file"], "left_anti")
-    held = claims.join(locks, "file").filter("holder <> agent").select("claim", "file").distinct()
-    count = lambda df, name: df.groupBy("claim").agg(F.count("*").alias(name))
-    out = claims.select("claim").distinct().join(count(missing, "n_partners"), "claim", "left").join(count(held, "n_locks"), "claim", "left").na.fill(0, ["n_partners", "n_locks"])
-    total = F.col("n_partners") + F.col("n_locks")
+    held = claims.join(locks, [c for c in ("claim", "file") if c in locks.columns]).filter("holder <> agent").select("claim", "file").distinct()
+    parts = {"n_partners": missing, "n_locks": held}
+    if consumers is not None:
+        parts["n_consumers"] = claims.join(consumers, "file").select("claim", "file", "consumer").distinct()
+    out = claims.select("claim").distinct()
+    for name, df in parts.items():
+        out = out.join(df.groupBy("claim").agg(F.count("*").alias(name)), "claim", "left")
+    out = out.na.fill(0, list(parts))
+    total = reduce(lambda a, b: a + b, [F.col(name) for name in parts])
     return out.withColumn("risk", F.when((F.col("n_locks") > 0) | (total >= 4), "high").when(total >= 1, "medium").otherwise("low"))
 
 

@@ -23,8 +23,9 @@ CTES = {
     "changes": "SELECT o_orderkey AS commit_id, o_orderdate AS ts, 'n' || s_nationkey AS module, 'n' || s_nationkey || '/s' || s_suppkey AS file, CAST(sum(l_quantity) AS BIGINT) AS ins, CAST(sum(l_linenumber) AS BIGINT) AS dels FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL",
     "nodes": "SELECT file_id AS id, repo, repo || '/' || CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS module, path FROM files",
     "edges": r"SELECT DISTINCT i.file_id AS src, t.file_id AS dst FROM (SELECT file_id, repo, coalesce(nullif(regexp_extract(i, 'from ''[./]*([A-Za-z_]\w*)', 1), ''), nullif(regexp_extract(i, '^use crate::(\w+)', 1), ''), nullif(regexp_extract(i, '^from [.](\w+)', 1), '')) AS word FROM (SELECT file_id, repo, unnest(imports) AS i FROM files)) i JOIN (SELECT file_id, repo, string_split(path, '/')[-2] AS word FROM files) t ON t.repo = i.repo AND t.word = i.word WHERE i.file_id <> t.file_id",
+    "links": "SELECT a.file_id AS provider, b.file_id AS consumer, a.repo || ':' || a.path AS provider_file, b.repo || ':' || b.path AS consumer_file FROM files a JOIN files b ON a.repo = b.repo AND regexp_replace(a.path, '/[^/]*$', '') = regexp_replace(b.path, '/[^/]*$', '') WHERE (a.path LIKE '%.py' OR a.path LIKE '%.go') AND b.path LIKE '%.ts'",
 }
-_NEEDS = {"touched": ["commits"], "predicted": ["sessions"], "edges": ["files"], "nodes": ["files"]}
+_NEEDS = {"links": ["files"], "touched": ["commits"], "predicted": ["sessions"], "edges": ["files"], "nodes": ["files"]}
 
 
 def sql(body: str, *names: str) -> str:
@@ -110,3 +111,11 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
     """Files as nodes; a module is a repo's first directory."""
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise("")
     return paths(spark, d).select(F.col("file_id").alias("id"), "repo", F.concat("repo", F.lit("/"), top).alias("module"), "path")
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Network links of files, as JN13 stands in for them: Python and Go provide, TypeScript of the same repo and folder consumes."""
+    rows = paths(spark, d).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    side = lambda df, name: df.select("repo", "folder", F.col("file_id").alias(name), F.concat("repo", F.lit(":"), "path").alias(f"{name}_file"))
+    both = side(rows.filter("path like '%.py' or path like '%.go'"), "provider").join(side(rows.filter("path like '%.ts'"), "consumer"), ["repo", "folder"])
+    return both.select("provider", "consumer", "provider_file", "consumer_file")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import checkpointed, table
 from ..functions import scalar as S
 from ..operators import chunks as Y
 from ..operators import context as X
@@ -75,6 +75,33 @@ def _(s, d):
     return X.preflight(claims, strong, rows.limit(0).select("file", F.col("commit_id").alias("holder")))
 
 
+_CLAIMS = """{0}, w AS (SELECT file_a AS file, file_b AS partner FROM u WHERE npmi >= 0.5 UNION ALL SELECT file_b, file_a FROM u WHERE npmi >= 0.5),
+c AS (SELECT commit_id AS claim, repo || ':' || file AS file, file AS path, ts FROM touched),
+m AS (SELECT DISTINCT claim, partner AS file FROM c JOIN w USING (file) WHERE NOT EXISTS (SELECT 1 FROM c z WHERE z.claim = c.claim AND z.file = w.partner)), k AS (SELECT claim, count(*) AS n_partners FROM m GROUP BY claim),
+g AS (SELECT claim, count(*) AS n_consumers FROM (SELECT DISTINCT claim, c.file, consumer_file FROM c JOIN links ON provider_file = c.file) GROUP BY claim),
+e AS (SELECT replace(unnest(list_concat(coalesce(exclusive_files, []), coalesce(shared_files, []))), chr(92), '/') AS path, created_at, expires_at FROM locks),
+h AS (SELECT claim, count(DISTINCT c.file) AS n_locks FROM c JOIN e ON e.path = c.path AND c.ts >= created_at AND c.ts < expires_at GROUP BY claim),
+x AS (SELECT claim, coalesce(n_partners, 0) AS n_partners, coalesce(n_consumers, 0) AS n_consumers, coalesce(n_locks, 0) AS n_locks FROM (SELECT DISTINCT claim FROM c) LEFT JOIN k USING (claim) LEFT JOIN g USING (claim) LEFT JOIN h USING (claim))
+SELECT *, CASE WHEN n_locks > 0 OR n_partners + n_consumers + n_locks >= 4 THEN 'high' WHEN n_partners + n_consumers + n_locks >= 1 THEN 'medium' ELSE 'low' END AS risk FROM x"""
+
+
+@q("JN38_preflight_locks", _CLAIMS.format(HP._NPMI), "touched", "locks", "links")
+def _(s, d):
+    made = B.touched(s, d).select("commit_id", F.concat("repo", F.lit(":"), "file").alias("name"), F.col("file").alias("path"), "ts")
+    # Files as numbers, given once: the pairs and claims below would else carry long names through every shuffle.
+    made = checkpointed(made)
+    ids = checkpointed(made.select("name").distinct().withColumn("file", F.monotonically_increasing_id()))
+    made = checkpointed(made.join(ids, "name").select("commit_id", "file", "path", "ts"))
+    strong = H.npmi(made.select("commit_id", "file")).filter("npmi >= 0.5").select(F.col("file_a").alias("file"), F.col("file_b").alias("partner"))
+    # A commit names no agent, so that every holder is another one.
+    claims = made.select(F.col("commit_id").alias("claim"), F.col("commit_id").alias("agent"), "file")
+    every = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("exclusive_files", "shared_files")])
+    held = B.locks(s, d).select(F.col("agent").alias("holder"), "created_at", "expires_at", F.explode(every).alias("path")).withColumn("path", F.translate("path", "\\", "/"))
+    alive = made.join(held, "path").filter("ts >= created_at and ts < expires_at").select(F.col("commit_id").alias("claim"), "file", "holder").distinct()
+    consumers = B.links(s, d).select(F.col("provider_file").alias("name"), "consumer").join(ids, "name").select("file", "consumer")
+    return X.preflight(claims, strong, alive, consumers)
+
+
 @q("JN19_colocation", "WITH u AS (SELECT dst AS id, count(DISTINCT a.module) AS n, min(a.module) AS first, list(DISTINCT a.module) AS al FROM edges JOIN nodes a ON a.id = src GROUP BY dst) SELECT u.id, module, CASE WHEN n = 1 THEN 'orphan' ELSE 'shared' END AS rule, CASE WHEN n = 1 THEN first END AS target FROM u JOIN nodes USING (id) WHERE NOT list_contains(al, module)", "edges", "nodes")
 def _(s, d):
     return X.colocation(B.edges(s, d), B.nodes(s, d))
