@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..common import checkpointed
 from ..functions import scalar as S
 from ..operators import graph as G
 from ..operators import history as H
@@ -197,6 +198,25 @@ def _(s, d):
     return G.blast_radius(n.select(F.col("module").alias("group"), "id"), e, none)
 
 
+_RINGS = """{0}, pr AS (SELECT a.file_id AS id, b.file_id AS partner FROM (SELECT file_a, file_b FROM u WHERE npmi > 0.5 UNION ALL SELECT file_b, file_a FROM u WHERE npmi > 0.5) JOIN files a ON a.repo || ':' || a.path = file_a JOIN files b ON b.repo || ':' || b.path = file_b UNION SELECT provider, consumer FROM links UNION SELECT consumer, provider FROM links),
+pm AS (SELECT module AS "group", id FROM nodes), nb AS (SELECT "group", src AS id FROM pm JOIN edges ON dst = id UNION SELECT "group", partner FROM pm JOIN pr USING (id)),
+x AS (SELECT * FROM nb ANTI JOIN pm USING ("group", id)), y AS (SELECT DISTINCT "group", src AS id FROM x JOIN edges ON dst = x.id), z AS (SELECT * FROM y ANTI JOIN pm USING ("group", id))
+SELECT "group", id, 'exclusive' AS ring FROM x UNION ALL SELECT "group", id, 'shared' FROM z ANTI JOIN x USING ("group", id)"""
+
+
+@q("JN23_blast_radius_coupled", _RINGS.format(_NPMI), "touched", "edges", "nodes", "links")
+def _(s, d):
+    e, n, links = checkpointed(B.edges(s, d)), checkpointed(B.nodes(s, d)), B.links(s, d)
+    # Pairs are counted over ids, and only over files that are known; the number of commits stays that of all.
+    key = F.concat("repo", F.lit(":"), "path")
+    names = n.select("id", key.alias("file"))
+    rows = checkpointed(obs(s, d).join(names, "file", "left").select("commit_id", F.col("id").alias("file")))
+    strong = H.npmi(rows).filter("npmi > 0.5").select(F.col("file_a").alias("id"), F.col("file_b").alias("partner"))
+    calls = links.select(F.col("provider").alias("id"), F.col("consumer").alias("partner"))
+    partners = strong.unionByName(calls).unionByName(calls.select(F.col("partner").alias("id"), F.col("id").alias("partner"))).distinct()
+    return G.blast_radius(n.select(F.col("module").alias("group"), "id"), e, partners)
+
+
 @q("JN26_ghost_couplings", f"{_OBS}, {_pairs(3)} SELECT file_a, file_b, n_ab FROM p WHERE n_ab >= 5 AND NOT EXISTS (SELECT 1 FROM p z WHERE z.file_a = p.file_a AND z.file_b = p.file_b AND regexp_replace(p.file_a, '/[^/]*$', '') = regexp_replace(p.file_b, '/[^/]*$', ''))", "touched")
 def _(s, d):
     pairs = H.pair_counts(H.active(obs(s, d), 3)).filter("n_ab >= 5")

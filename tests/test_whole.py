@@ -44,3 +44,13 @@ def test_preflight_counts_the_locks_that_are_alive(spark, write):
     )
     got = {r["claim"]: (r["n_partners"], r["n_consumers"], r["n_locks"], r["risk"]) for r in core_queries()["JN38_preflight_locks"](spark, d).collect()}
     assert got == {"c1": (0, 0, 1, "high"), "c2": (0, 0, 1, "high"), "c3": (0, 0, 0, "low"), "c4": (0, 1, 0, "medium"), "c5": (0, 0, 0, "low")}
+
+
+def test_blast_radius_takes_partners_and_network_links(spark, write):
+    pairs = [commit(f"c{i}", ["m/a.py", "n/b.py"], 1.0) for i in range(3)] + [commit(f"d{i}", ["k/other"], 1.0) for i in range(5)]
+    d = write(
+        observation_logs=pairs,
+        file_analyses=[file(1, "m/a.py"), file(2, "n/b.py"), file(3, "u/b/user.js", ["import x from './n'"]), file(5, "s/p/c.go"), file(6, "s/p/c.ts")],
+    )
+    got = {(r["group"], r["id"], r["ring"]) for r in core_queries()["JN23_blast_radius_coupled"](spark, d).collect()}
+    assert got == {("r/m", 2, "exclusive"), ("r/n", 1, "exclusive"), ("r/n", 3, "exclusive"), ("r/m", 3, "shared")}
