@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..common import checkpointed, table
 from ..functions import scalar as S
 from ..operators import chunks as Y
 from ..operators import context as X
+from ..operators import feedback as L
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import merging as M
@@ -16,6 +19,7 @@ from ..operators import retrieval as R
 from ..operators import scopes as C
 from ..sources import sinks as K
 from . import bind as B
+from . import feedback_plans as FP
 from . import history_plans as HP
 from . import scalar_plans as Z
 from . import search_plans as P
@@ -363,6 +367,16 @@ def _(s, d):
     return one(B.sessions(s, d), "sessions").unionByName(one(B.commits(s, d), "commits")).unionByName(one(B.rules(s, d), "rules"))
 
 
+_STATE = f"SELECT 'utility' AS state, * FROM ({FP.QUERIES['AGG19_utility'][1]}) UNION ALL BY NAME SELECT 'lesson' AS state, * FROM ({FP.QUERIES['AGG42_lessons'][1]}) UNION ALL BY NAME SELECT 'invariant' AS state, * FROM ({HP.QUERIES['JN28_absent_boundaries'][1]})"
+
+
+@q("PIPE15_rebuilt_state", _STATE)
+def _(s, d):
+    sessions, commits = checkpointed(B.sessions(s, d)), checkpointed(B.commits(s, d))
+    tables = {"utility": L.utility(sessions, commits), "lesson": L.lessons(sessions, commits, resolved=3), "invariant": G.absent_boundaries(B.edges(s, d), B.nodes(s, d))}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn("state", F.lit(name)) for name, df in tables.items()])
+
+
 @q("VEC06_search_in_budget", f"WITH {P._BM25}, top AS (SELECT doc_id, score FROM bm ORDER BY score DESC, doc_id LIMIT 50), t AS (SELECT doc_id, score, CAST(floor(length(text) / 4) AS BIGINT) AS tokens FROM top JOIN documents USING (doc_id)) SELECT doc_id, tokens, used FROM (SELECT doc_id, tokens, sum(tokens) OVER (ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM t) WHERE used <= 3000")
 def _(s, d):
     docs = table(s, d, "documents")

@@ -54,3 +54,15 @@ def test_blast_radius_takes_partners_and_network_links(spark, write):
     )
     got = {(r["group"], r["id"], r["ring"]) for r in core_queries()["JN23_blast_radius_coupled"](spark, d).collect()}
     assert got == {("r/m", 2, "exclusive"), ("r/n", 1, "exclusive"), ("r/n", 3, "exclusive"), ("r/m", 3, "shared")}
+
+
+def test_rebuild_gives_the_derived_tables(spark, write):
+    d = write(
+        session_logs=[(f"s{i}", "r", 1.0, None, None, ["m/a.py"], None, []) for i in range(3)],
+        observation_logs=[(f"c{i}", "r", f"s{i}", ["n/b.py"], [], ["n/b.py"], 0.0, 0.0, 2.0) for i in range(3)],
+        file_analyses=[file(1, "m/a.py"), file(2, "n/b.py")],
+    )
+    rows = core_queries()["PIPE15_rebuilt_state"](spark, d).collect()
+    assert {(r["state"], r["file"], r["resolves"], r["touches"]) for r in rows if r["state"] == "utility"} == {("utility", "m/a.py", 3, 0), ("utility", "n/b.py", 0, 3)}
+    assert {(r["trigger"], r["file"], r["n"]) for r in rows if r["state"] == "lesson"} == {("resolved_never_touched", "m/a.py", 3), ("touched_not_predicted", "n/b.py", 3)}
+    assert {(r["src_module"], r["dst_module"]) for r in rows if r["state"] == "invariant"} == {("r/m", "r/n"), ("r/n", "r/m")}
