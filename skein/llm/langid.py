@@ -107,10 +107,13 @@ _BREAK = re.compile(
 )
 _ITEM = re.compile(r"(?:[-*+•‣◦]|\d{1,3}[.)])\s")
 _HEADER = re.compile(r"[\w./-]+(?:\([^)]*\))?!?:(?:\s|$)")
-_CODE = re.compile(r"(?:[;{}\[(]|=>|->|\\)\s*$|[=(){}\[\]<>\"].*,\s*$|^\s*[})\]]|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|public|private|protected|static|package|use|if|for|while|else|elif|try|except|async|await|export|type|interface|struct|enum|impl|match|case|switch|raise|throw|with)\b[^.!?]*[({:=;]|\w\(\)|[=!<>]=|&&|\|\||::")
-_SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?![\s\"'”’»)\]*_]|$)[^.!?。！？]*)*(?:[.!?。！？]+[\"'”’»)\]*_]*)(?=\s|$|(?<=[。！？]))")
+_CODE = re.compile(r"(?:[;{}\[(]|=>|->|\\)\s*$|^\s*[})\]]|^\s*(?:def|class|import|from|return|func|fn|pub|let|const|var|public|private|protected|static|package|use|if|for|while|else|elif|try|except|async|await|export|type|interface|struct|enum|impl|match|case|switch|raise|throw|with)\b[^.!?]*[({:=;]|\w\(\)|[=!<>]=|&&|\|\||::")
+#: A code line that goes on ends in a comma after one of these.
+_BRACKET = re.compile(r"[=(){}\[\]<>\"]").search
+_END = re.compile(r"([.!?。！？]+)([\"'”’»)\]*_]*)")
+_FULL_WIDTH = "。！？"
 _CODED = re.compile(r"[`/\\_<\[]|[a-z][A-Z]").search
-_INLINE = re.compile(r"`[^`]*`|https?://\S+|(?<!\S)[^\s/\\]*[/\\]\S*|\[[^\]]*\]\([^)]*\)|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b|\[[\d.]+\]|<[^>]*>")
+_INLINE = re.compile(r"`[^`]*`|https?://\S+|(?<!\S)[^\s/\\]*[/\\]\S*|\[[^\[\]]*\]\([^()]*\)|\b\w*_\w+\b|\b[a-z]+(?:[A-Z]\w*)+\b|\[[\d.]+\]|<[^<>]*>")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
@@ -153,7 +156,7 @@ def passages(text: str | None) -> list[str]:
             close()
             continue
         ends = bare[-1] in ".!?。！？\"'”’»)*_"
-        if _HEADER.match(bare) and not ends and len(bare) < 90 or _CODE.search(bare) and not (ends and bare[-1] in ".!?。！？"):
+        if _HEADER.match(bare) and not ends and len(bare) < 90 or (_CODE.search(bare) or bare[-1] == "," and _BRACKET(bare)) and not (ends and bare[-1] in ".!?。！？"):
             close()
             continue
         held.append(bare)
@@ -162,7 +165,28 @@ def passages(text: str | None) -> list[str]:
 
 
 def sentences(passage: str) -> list[str]:
-    return [s for m in _SENTENCE.finditer(passage) if (s := m[0].strip())]
+    """The sentences in one pass over the end marks, in time proportional to the passage.
+
+    A sentence ends with its end marks and the quotes and brackets after them
+    before a blank or the end, and after a full-width mark anywhere.  A mark
+    right before other text is inside a word (a version, a name).  One before a
+    closing sign with text after it ends no sentence, and what stands before
+    it is none; neither is what follows the last end.
+    """
+    out, start, n = [], 0, len(passage)
+    for m in _END.finditer(passage):
+        over, end = m.end(1), m.end()
+        if end < n and not passage[end].isspace():
+            wide = max(passage.rfind(c, m.start(), over) for c in _FULL_WIDTH)
+            if wide < 0:
+                if end > over:
+                    start = over
+                continue
+            end = wide + 1
+        if s := passage[start:end].strip():
+            out.append(s)
+        start = over if end < over < m.end() else end
+    return out
 
 
 def full_sentence(sentence: str, least_words: int = 5, least_wide: int = 8) -> str | None:

@@ -1,4 +1,9 @@
+import re
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from skein.llm.langid import Model, document_languages, full_sentence, label_language, labelled, language_segments, missing_languages, passages, segments, sentences
 
@@ -40,6 +45,23 @@ def test_wrapped_sentences_and_fragments(model):
     assert full_sentence("See `a b c d` in x/y/z now.") is None
 
 
+#: What a sentence is, as one pattern; it takes quadratic time on text without an end mark.
+_SENTENCE = re.compile(r"[^.!?。！？]*(?:[.!?](?![\s\"'”’»)\]*_]|$)[^.!?。！？]*)*(?:[.!?。！？]+[\"'”’»)\]*_]*)(?=\s|$|(?<=[。！？]))")
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.text(alphabet="ab .!?。！\"')*", max_size=14))
+def test_one_pass_gives_what_the_pattern_says(text):
+    assert sentences(text) == [s for m in _SENTENCE.finditer(text) if (s := m[0].strip())]
+
+
+def test_long_texts_take_linear_time(model):
+    for part in ("word ", "a.b ", "(", "[", "<", "`", "_", "aA", "{ ", "= x ", "x|", "> ", "1.", "no (end ", "。", 'a."b'):
+        began = time.time()
+        segments(model, part * (1_000_000 // len(part)))
+        assert time.time() - began < 8, part
+
+
 def test_labels(spark):
     cases = [("en", "en"), ("EN_gb", "en"), ("deu", "de"), ("Japanese", "ja"), ("pt-BR", "pt"), (" Fr ", "fr"), ("und", None), ("", None), (None, None), ("unknown", None), ("english-US", "en"), ("ger", None)]
     assert [label_language(a) for a, _ in cases] == [b for _, b in cases]
