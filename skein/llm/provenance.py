@@ -4,23 +4,31 @@ Each file gets evidence for five labels from its content and name, each
 directory from its own name.  A directory's label says what its files and
 subdirectories are likely to be; parent and child, and through the parent the
 siblings, support each other.  The graph of one repository is a tree, so one
-pass up and one pass down give the exact marginals.  Both passes run level by
-level as aggregations and joins over (repo, directory): a directory's children
-are summed with map-side combine, however many they are.
+pass up and one pass down give the exact marginals.
+
+Files are range-sorted once by (repo, directory components, file), which puts
+every subtree into one stretch of rows; a directory or repository of any size
+is cut over as many partitions as its rows need.  A directory whose subtree
+lies within a partition is finished there.  Only those on the path to a
+partition's first and last directory may go on in another one: their partial
+sums, at most two paths a partition, are combined and passed back, and a
+second scan of the partitions goes down the trees to the files.  So the number
+of jobs does not depend on the depth or the size of the trees.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import checkpointed, latest, spread
+from ..common import checkpointed, latest, shuffle_parts, spread
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
 _N = len(LABELS)
@@ -40,8 +48,8 @@ _DIR = (
     (0.002, 0.001, 0.001, 0.995, 0.001),
     (0.30, 0.05, 0.05, 0.05, 0.55),
 )
-#: Deeper path components count as one directory.
-_DEEPEST = 64
+#: Files a partition of the sorted files should have at most; one task holds the numbers of that many files.
+_FILES_A_PARTITION = 250_000
 
 #: Names of directories and what they speak for, as log odds (fixed values).
 DIRECTORY_NAMES = {
@@ -63,7 +71,7 @@ _MARK = re.compile(
     re.I,
 )
 _BY_HAND = re.compile(r"\b(?:kept|written|maintained|edited) by hand\b|\bby hand[.;]?$|\bhand[- ]?written\b|\bhelpers? for\b|\bthe files generated by\b", re.I)
-_COMMENT = re.compile(r"^\s*(?://+[!/]?|#(?![!\[])|/\*+!?|\*+/?|<!--|--|;)\s?(.*?)\s*(?:\*/|-->)?\s*$")
+_OPEN = re.compile(r"\s*(?://+[!/]?|#(?![!\[])|/\*+!?|\*+/?|<!--|--|;)\s?")
 _NAME = re.compile(r"_pb2(?:_grpc)?\.py$|\.pb\.(?:go|cc|h)$|[._](?:gen|generated|autogen)\.\w+$|[a-z0-9]Generated\.java$|\.g\.\w+$|\.designer\.\w+$|_generated\.\w+$")
 _MIN_NAME = re.compile(r"[.-]min\.(?:js|ts|css|py|go|rs|java)$|[.-](?:bundle|prod|chunk)\.\w+$|[.-][0-9a-f]{8,}\.(?:js|ts)$")
 _NOTICE = re.compile(
@@ -120,55 +128,80 @@ def _counted(text: str) -> int:
     return best
 
 
-def _notices(text: str, repo: str) -> bool:
-    """Does a comment near either end carry another project's notice?"""
-    lines = text.split("\n")
+def comments(text: str) -> list[str]:
+    """What the comments say, line by line: whole-line comments, and ``/* */`` inside a line, of any length."""
+    out = []
+    for line in text.split("\n"):
+        m = _OPEN.match(line)
+        if m:
+            said = line[m.end() :]
+            for close in ("*/", "-->"):
+                at = said.find(close)
+                if at >= 0:
+                    said = said[:at]
+            if said := said.strip():
+                out.append(said)
+        at = line.find("/*", m.end() if m else 0)
+        while at >= 0 and (close := line.find("*/", at + 2)) >= 0:
+            if said := line[at + 2 : close].strip(" *!\t"):
+                out.append(said)
+            at = line.find("/*", close + 2)
+    return out
+
+
+def _notices(said: list[str], repo: str) -> bool:
+    """Does a comment anywhere carry another project's notice?"""
     own = re.sub(r"[\W_]+", "", (repo or "").lower())
-    for line in [*lines[:20], *lines[-6:]]:
-        m = _COMMENT.match(line) if len(line) < 400 else None
-        if not m or not m[1]:
-            continue
-        n = _NOTICE.search(m[1])
-        if not n:
-            continue
-        project = next((p for p in (n[f"p{i}"] for i in range(1, 9)) if p), "")
-        key = re.sub(r"[\W_]+", "", project.lower())
-        if key and not (len(own) >= 3 and own in key or own == key):
-            return True
+    for line in said:
+        for n in _NOTICE.finditer(line):
+            project = next((p for p in (n[f"p{i}"] for i in range(1, 9)) if p), "")
+            key = re.sub(r"[\W_]+", "", project.lower())
+            if key and not (len(own) >= 3 and own in key or own == key):
+                return True
     return False
 
 
-def _marked(text: str) -> bool:
+def _marked(said: list[str]) -> bool:
     """Does a comment say that a tool wrote the file?"""
-    for line in text.split("\n"):
-        if len(line) < 400 and (m := _COMMENT.match(line)) and m[1] and _MARK.search(m[1]) and not _BY_HAND.search(m[1].replace("nicht von Hand", "")):
-            return True
-    return False
+    return any(_MARK.search(line) and not _BY_HAND.search(line.replace("nicht von Hand", "")) for line in said)
+
 
+class Limits(NamedTuple):
+    """From which size on the shape of a text speaks for data or minified code.
+
+    Shorter literals are constant tables, shorter lines an ordinary style, as a hand-written file may hold them.
+    """
 
-def evidence(repo: str | None, path: str | None, content: str) -> list[float]:
-    """Log potentials of the five labels from one file alone."""
+    data_characters: int = 300
+    longest_line: int = 120
+    mean_line: int = 70
+    mean_dense_line: int = 200
+
+
+def evidence(repo: str | None, path: str | None, content: str, limits: Limits = Limits()) -> list[float]:
+    """Log potentials of the five labels from one file alone, from its whole text."""
     name = (path or "").rsplit("/", 1)[-1]
     out = [2.0, 0.0, -1.0, 0.8, -1.0]
-    if _marked(content):
+    said = comments(content)
+    if _marked(said):
         out[1] += 8
     if _NAME.search(name):
         out[1] += 4
     if _counted(content) >= 4:
         out[1] += 5
-    if _notices(content, repo or ""):
+    if _notices(said, repo or ""):
         out[3] += 8
     share, size = _data_share(content)
-    if share > 0.55 and size > 300:
+    if share > 0.55 and size > limits.data_characters:
         out[4] += 8
-    elif share > 0.4 and size > 300:
+    elif share > 0.4 and size > limits.data_characters:
         out[4] += 2
     blank = 1 - len("".join(content.split())) / len(content) if content else 0.0
     lines = [x for x in content.split("\n") if x.strip()]
     longest = max(map(len, lines), default=0)
     mean = len(content) / max(1, len(lines))
     short = _short_names(content)
-    if share <= 0.55 and longest > 120 and (short > 0.6 and blank < 0.16 and mean > 70 or blank < 0.05 and mean > 200):
+    if share <= 0.55 and longest > limits.longest_line and (short > 0.6 and blank < 0.16 and mean > limits.mean_line or blank < 0.05 and mean > limits.mean_dense_line):
         out[2] += 9
     if _MIN_NAME.search(name):
         out[2] += 2 if short > 0.3 or blank < 0.1 else 0.5
@@ -179,28 +212,140 @@ def _columns(prefix: str) -> list[str]:
     return [f"{prefix}{i}" for i in range(_N)]
 
 
-def _lse(terms: list[Column]) -> Column:
-    top = F.greatest(*terms)
-    return top + F.log(reduce(lambda a, b: a + b, [F.exp(t - top) for t in terms]))
+_LOG_FILE, _LOG_DIR = np.log(np.array(_FILE)), np.log(np.array(_DIR))
+_NAMED = {name: np.array([odds if label == speaks else 0.0 for label in LABELS]) for name, (speaks, odds) in DIRECTORY_NAMES.items()}
+
 
+def _lse(terms: np.ndarray, axis: int = -1) -> np.ndarray:
+    top = terms.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(terms - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
-def _up(table: tuple, child: str, out: str) -> list[Column]:
+
+def _said(child: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Message to the parent: log sum over child labels of P(child | parent) times the child's belief."""
-    return [_lse([F.col(f"{child}{y}") + math.log(table[x][y]) for y in range(_N)]).alias(f"{out}{x}") for x in range(_N)]
+    return _lse(child[..., None, :] + table)
 
 
-def _down(table: tuple, parent: str, own: str, out: str) -> list[Column]:
+def _told(parent: np.ndarray, said: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Message to a child: from the parent's belief without what this child said."""
-    return [_lse([F.col(f"{parent}{x}") - F.col(f"{own}{x}") + math.log(table[x][y]) for x in range(_N)]).alias(f"{out}{y}") for y in range(_N)]
+    return _lse((parent - said)[..., :, None] + table, axis=-2)
+
 
+def _name_odds(directory: tuple[str, ...]) -> np.ndarray | float:
+    return _NAMED.get(directory[-1], 0.0) if directory else 0.0
 
-def label_files(df: DataFrame, at: str | None = "recorded_at") -> DataFrame:
+
+class _Trees:
+    """The directories of one partition of the sorted files, in preorder, with what their files say.
+
+    ``rows`` has repo, dir (joined), depth and the file potentials, in sorted
+    order.  Every directory stands behind its parent, those without files too.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        self.potentials = rows[_columns("f")].to_numpy(dtype=np.float64)
+        self.messages = _said(self.potentials, _LOG_FILE)
+        repos, dirs, depths = rows["repo"].to_numpy(), rows["dir"].to_numpy(), rows["depth"].to_numpy()
+        heads = np.flatnonzero(np.r_[True, (repos[1:] != repos[:-1]) | (dirs[1:] != dirs[:-1]) | (depths[1:] != depths[:-1])]) if len(rows) else np.empty(0, dtype=np.int64)
+        self.names: list[tuple[str, tuple[str, ...]]] = []
+        self.parent: list[int] = []
+        at_head: list[int] = []
+        path: list[int] = []
+        repo, first = None, True
+        for h in heads:
+            parts = tuple(dirs[h].split("/")) if depths[h] else ()
+            if first or repos[h] != repo:
+                repo, first, path = repos[h], False, []
+            keep = 0
+            while keep < len(path) and keep <= len(parts) and self.names[path[keep]][1] == parts[:keep]:
+                keep += 1
+            del path[keep:]
+            for depth in range(keep, len(parts) + 1):
+                self.names.append((repo, parts[:depth]))
+                self.parent.append(path[-1] if path else -1)
+                path.append(len(self.names) - 1)
+            at_head.append(path[-1])
+        self.node = np.repeat(np.array(at_head, dtype=np.int64), np.diff(np.r_[heads, len(rows)])) if len(heads) else np.empty(0, dtype=np.int64)
+        self.belief = np.zeros((len(self.names), _N))
+        np.add.at(self.belief, self.node, self.messages)
+        # The paths to the first and to the last directory may go on in other partitions.
+        self.open = np.zeros(len(self.names), dtype=bool)
+        for i in (at_head[0], at_head[-1]) if at_head else ():
+            while i >= 0:
+                self.open[i] = True
+                i = self.parent[i]
+        self.said = np.zeros((len(self.names), _N))
+        for i in range(len(self.names) - 1, -1, -1):
+            if not self.open[i]:
+                self.belief[i] += _name_odds(self.names[i][1])
+                self.said[i] = _said(self.belief[i], _LOG_DIR)
+                self.belief[self.parent[i]] += self.said[i]
+
+    def partials(self) -> list[tuple[str, list[str], list[float]]]:
+        """(repo, directory, sum of what was said below it here) of the open directories."""
+        return [(self.names[i][0], list(self.names[i][1]), self.belief[i].tolist()) for i in np.flatnonzero(self.open)]
+
+    def files(self, totals: dict[tuple[str, tuple[str, ...]], np.ndarray]) -> np.ndarray:
+        """The log potentials of all files with what their trees tell them; ``totals`` has the beliefs of the open directories."""
+        for i in range(len(self.names)):
+            if self.open[i]:
+                self.belief[i] = totals[self.names[i]]
+            else:
+                self.belief[i] += _told(self.belief[self.parent[i]], self.said[i], _LOG_DIR)
+        return self.potentials + _told(self.belief[self.node], self.messages, _LOG_FILE)
+
+
+def _combined(partials: list) -> dict[tuple[str, tuple[str, ...]], np.ndarray]:
+    """The beliefs of the directories that partitions share; each one's parent is among them."""
+    sums: dict[tuple[str, tuple[str, ...]], np.ndarray] = {}
+    for repo, directory, partial in partials:
+        key = (repo, tuple(directory))
+        sums[key] = sums.get(key, 0.0) + np.array(partial)
+    order = sorted(sums, key=lambda k: len(k[1]))
+    said = {}
+    for key in reversed(order):
+        sums[key] = sums[key] + _name_odds(key[1])
+        if key[1]:
+            said[key] = _said(sums[key], _LOG_DIR)
+            sums[key[0], key[1][:-1]] = sums[key[0], key[1][:-1]] + said[key]
+    for key in order:
+        # The prior at the roots is that of a directory under a handwritten one.
+        sums[key] = sums[key] + (_told(sums[key[0], key[1][:-1]], said[key], _LOG_DIR) if key[1] else _LOG_DIR[0])
+    return sums
+
+
+def _open_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = [b for b in batches if len(b)]
+    if held:
+        yield pd.DataFrame(_Trees(pd.concat(held, ignore_index=True)).partials(), columns=["repo", "dir", "partial"])
+
+
+def _labels(sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        rows = pd.concat(held, ignore_index=True)
+        scores = _Trees(rows).files(sent.value)
+        best = scores.max(axis=1)
+        # At equal belief the first label wins; sums in another order differ by rounding.
+        at = (scores >= best[:, None] - 1e-9).argmax(axis=1)
+        yield pd.DataFrame({"file_id": rows["file_id"], "repo": rows["repo"], "path": rows["path"], "label": np.array(LABELS)[at], "confidence": np.round(np.exp(best - _lse(scores)), 6)})
+
+    return run
+
+
+def label_files(df: DataFrame, at: str | None = "recorded_at", limits: Limits = Limits(), partitions: int | None = None) -> DataFrame:
     """(file_id, repo, path, label, confidence), one row per file with a content.
 
     Of rows with one file_id the latest ``at`` counts; rows with a null
     file_id or a null content drop out.  A null repo or path counts as an
     empty one.  An empty content is handwritten unless its place says
-    otherwise.  At equal belief the first label of LABELS wins.
+    otherwise.  At equal belief the first label of LABELS wins.  Other columns
+    are never read, whatever their names.
+
+    Collected are the directories on two paths a partition, which is bounded
+    by the number of partitions and the depth of the trees.
     """
     rows = df.select(
         F.col("file_id").cast("long"), F.coalesce(F.col("repo").cast("string"), F.lit("")).alias("repo"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"),
@@ -211,7 +356,7 @@ def label_files(df: DataFrame, at: str | None = "recorded_at") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             repos, paths, texts = (batch.column(i).to_pylist() for i in (1, 2, 4))
-            got = [[None] * _N if t is None else evidence(r, p, t) for r, p, t in zip(repos, paths, texts)]
+            got = [[None] * _N if t is None else evidence(r, p, t, limits) for r, p, t in zip(repos, paths, texts)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array([g[i] for g in got], type=pa.float64()) for i in range(_N))], ["file_id", "repo", "path", "at", *_columns("f")])
 
     schema = "file_id long, repo string, path string, at timestamp, " + ", ".join(f"{c} double" for c in _columns("f"))
@@ -219,47 +364,11 @@ def label_files(df: DataFrame, at: str | None = "recorded_at") -> DataFrame:
     if at:
         files = latest(files, ["file_id"], "at")
     parts = F.split(F.translate("path", "\\", "/"), "/")
-    depth = F.least(F.size(parts) - 1, F.lit(_DEEPEST))
-    files = files.filter("f0 is not null").withColumn("depth", depth).withColumn("dir", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
-    files = checkpointed(files.select("file_id", "repo", "path", "dir", "depth", *_columns("f")))
-    deepest = files.agg(F.max("depth")).first()[0] or 0
-
-    say = files.select("*", *_up(_FILE, "f", "m"))
-    by_dir = say.groupBy("repo", "dir", "depth").agg(*[F.sum(c).alias(c) for c in _columns("m")])
-    # Every directory with its ancestors; those without files of their own get no file message.
-    above = by_dir.select("repo", F.explode(F.sequence(F.lit(0), "depth")).alias("depth"), F.split("dir", "/").alias("p"))
-    empty = above.select("repo", F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("dir"), "depth", *[F.lit(0.0).alias(c) for c in _columns("m")]).distinct()
-    dirs = by_dir.unionByName(empty).groupBy("repo", "dir", "depth").agg(*[F.sum(c).alias(c) for c in _columns("m")])
-    name = F.element_at(F.split("dir", "/"), -1)
-    own = []
-    for i, label in enumerate(LABELS):
-        weight = F.lit(0.0)
-        for known, (speaks, odds) in DIRECTORY_NAMES.items():
-            if speaks == label:
-                weight = F.when((name == known) & (F.col("depth") > 0), odds).otherwise(weight)
-        own.append((F.col(f"m{i}") + weight).alias(f"b{i}"))
-    parent = F.array_join(F.slice(F.split("dir", "/"), 1, F.greatest(F.col("depth") - 1, F.lit(0))), "/").alias("parent")
-    dirs = checkpointed(dirs.select("repo", "dir", "depth", parent, *own))
-
-    # Up: from the deepest level to the roots.
-    levels: dict[int, DataFrame] = {}
-    for d in range(deepest, -1, -1):
-        level = dirs.filter(F.col("depth") == d)
-        if d + 1 in levels:
-            heard = levels[d + 1].groupBy("repo", F.col("parent").alias("dir")).agg(*[F.sum(f"u{i}").alias(f"h{i}") for i in range(_N)])
-            level = level.join(heard, ["repo", "dir"], "left").select("repo", "dir", "depth", "parent", *[(F.col(f"b{i}") + F.coalesce(f"h{i}", F.lit(0.0))).alias(f"b{i}") for i in range(_N)])
-        levels[d] = checkpointed(level.select("*", *_up(_DIR, "b", "u")))
-    # Down: the prior at the roots is that of a directory under a handwritten one.
-    total = levels[0].select("repo", "dir", *[(F.col(f"b{i}") + math.log(_DIR[0][i])).alias(f"t{i}") for i in range(_N)])
-    totals = total
-    for d in range(1, deepest + 1):
-        told = levels[d].join(total.withColumnRenamed("dir", "parent"), ["repo", "parent"]).select("repo", "dir", *[f"b{i}" for i in range(_N)], *_down(_DIR, "t", "u", "d"))
-        total = checkpointed(told.select("repo", "dir", *[(F.col(f"b{i}") + F.col(f"d{i}")).alias(f"t{i}") for i in range(_N)]))
-        totals = totals.unionByName(total)
-    final = say.join(totals, ["repo", "dir"]).select("file_id", "repo", "path", *_columns("f"), *_down(_FILE, "t", "m", "d"))
-    scores = [F.col(f"f{i}") + F.col(f"d{i}") for i in range(_N)]
-    best = F.greatest(*scores)
-    label = F.lit(LABELS[-1])
-    for i in range(_N - 2, -1, -1):
-        label = F.when(scores[i] == best, LABELS[i]).otherwise(label)
-    return final.select("file_id", "repo", "path", label.alias("label"), F.round(F.exp(best - _lse(scores)), 6).alias("confidence"))
+    files = checkpointed(files.filter("f0 is not null").select("file_id", "repo", "path", F.slice(parts, 1, F.size(parts) - 1).alias("parts"), *_columns("f")))
+    count = partitions or max(1, min(shuffle_parts(df.sparkSession), files.rdd.getNumPartitions()), -(-files.count() // _FILES_A_PARTITION))
+    order = ["repo", "parts", "file_id"]
+    kept = files.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    kept = checkpointed(kept.select("file_id", "repo", "path", F.array_join("parts", "/").alias("dir"), F.size("parts").alias("depth"), *_columns("f")))
+    partials = kept.mapInPandas(_open_directories, "repo string, dir array<string>, partial array<double>").collect()
+    sent = df.sparkSession.sparkContext.broadcast(_combined(partials))
+    return kept.mapInPandas(_labels(sent), "file_id long, repo string, path string, label string, confidence double")

@@ -1,10 +1,13 @@
 import datetime as dt
 import math
+import random
+import time
 from itertools import product
 
 import numpy as np
+import pytest
 
-from skein.llm.provenance import _DIR, _FILE, DIRECTORY_NAMES, LABELS, evidence, label_files
+from skein.llm.provenance import _DIR, _FILE, DIRECTORY_NAMES, LABELS, comments, evidence, label_files
 
 HAND = "import os\n\ndef load_things(items):\n    # Helpers for the files generated by make_x; this module itself is kept by hand.\n    total = 0\n    for item in items:\n        total += item.size\n    return total\n"
 GENERATED = "// Code generated by toolgen v1.2. DO NOT EDIT.\n" + "".join(f"func (m *Msg) Get{i:03d}() int {{ return m.f[{i}] }}\n" for i in range(9))
@@ -37,6 +40,26 @@ def test_markers_in_other_places_and_languages():
         assert label_of("a = load_things(b)\n" * 3 + mark + "\n") == "generated", mark
 
 
+def test_notices_and_markers_on_any_line_of_any_length():
+    for line in (0, 25, 60):
+        for long in ("", " and more words about it" * 30):
+            lines = (HAND * 8).replace("#", "//").split("\n")
+            lines.insert(line, "// Imported unchanged from corvexa" + long)
+            assert label_of("\n".join(lines), "src/a.js") == "vendored", (line, long[:9])
+            lines[line] = "// Code generated by toolgen." + long
+            assert label_of("\n".join(lines), "src/a.js") == "generated", (line, long[:9])
+    bundle = "/*! corvexa v3.2.1 | MIT */" + "function load_things(items){return items.length}" * 20 + "/* copyright 2019 the ravenet authors */"
+    assert evidence("own-repo-1", "src/a.js", bundle)[3] > 8
+    assert comments("a = 1 /* x */ + /** y */ 2\n/* open\n * z */ b /* w */\n<!-- q -->") == ["x", "y", "open", "z", "w", "q"]
+
+
+def test_long_texts_take_linear_time():
+    began = time.time()
+    for part in ("/*", "*", '"', "'", "`", "// copyright 2019 ", "generated by ", "x1 ", "1,", "a" * 50 + " "):
+        evidence("r", "a.js", part * (200_000 // len(part)))
+    assert time.time() - began < 20
+
+
 def t(d):
     return dt.datetime(2025, 1, d)
 
@@ -54,6 +77,50 @@ def test_place_and_siblings(spark):
     assert label_files(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_beliefs(files):
+    """The tree's marginals by plain recursion: file_id -> log potentials."""
+    below, inside = {}, {}
+    for key, parts, f in files:
+        for d in range(len(parts) + 1):
+            below.setdefault(tuple(parts[:d]), set())
+            if d:
+                below[tuple(parts[: d - 1])].add(tuple(parts[:d]))
+        inside.setdefault(tuple(parts), []).append((key, f))
+    lse = lambda xs: max(xs) + math.log(sum(math.exp(x - max(xs)) for x in xs))
+    said, belief, out = {}, {}, {}
+    up = lambda v, table: [lse([v[y] + math.log(table[x][y]) for y in range(5)]) for x in range(5)]
+    down = lambda v, u, table: [lse([v[x] - u[x] + math.log(table[x][y]) for x in range(5)]) for y in range(5)]
+    for d in sorted(below, key=len, reverse=True):
+        name, odds = DIRECTORY_NAMES.get(d[-1], (None, 0)) if d else (None, 0)
+        belief[d] = [odds * (LABELS[i] == name) + sum(said[c][i] for c in below[d]) + sum(up(f, _FILE)[i] for _, f in inside.get(d, ())) for i in range(5)]
+        said[d] = up(belief[d], _DIR)
+    for d in sorted(below, key=len):
+        told = down(belief[d[:-1]], said[d], _DIR) if d else [math.log(x) for x in _DIR[0]]
+        belief[d] = [a + b for a, b in zip(belief[d], told)]
+        for key, f in inside.get(d, ()):
+            out[key] = [a + b for a, b in zip(f, down(belief[d], up(f, _FILE), _FILE))]
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_deep_and_wide_trees_cut_over_partitions(spark, partitions):
+    rng = random.Random(5)
+    paths = ["/".join(f"d{k}" for k in range(depth)) + "/f.py" for depth in (3, 50, 99, 100)] + [f"wide/w{i}/x.py" for i in range(40)] + [f"hot/f{i}.py" for i in range(120)] + ["top.py", "/odd.py", "a//b.py", "a-b/c.py", "a/c.py", "a.b/c.py"]
+    paths += ["/".join(rng.choice(["src", "gen", "vendor", "a", "a-b"]) for _ in range(rng.randint(0, 6))).strip("/") + f"/r{i}.py" for i in range(150)]
+    texts = [HAND, GENERATED, VENDORED, MINIFIED, BLOB]
+    files = [(i, "r" if i % 9 else "q", p, rng.choice(texts[:1] * 6 + texts)) for i, p in enumerate(paths)]
+    want = {}
+    for repo in ("r", "q"):
+        want |= plain_beliefs([(i, p.split("/")[:-1], evidence(r, p, x)) for i, r, p, x in files if r == repo])
+    df = spark.createDataFrame([(i, r, p, x, t(1), None, None) for i, r, p, x in files], SCHEMA)
+    got = label_files(df, partitions=partitions).collect()
+    assert len(got) == len(files)
+    for row in got:
+        scores = want[row.file_id]
+        assert row.label == LABELS[max(range(5), key=lambda i: scores[i])], row
+        assert abs(row.confidence - 1 / sum(math.exp(x - max(scores)) for x in scores)) < 1e-5
+
+
 def test_exact_marginals(spark):
     """Two passes give what summing over all labellings gives."""
     paths = ["vendor/a.py", "vendor/x/b.py", "c.py"]
