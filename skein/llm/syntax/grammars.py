@@ -195,29 +195,34 @@ ielem : NAME signature | constraint
 block : '{' stmts '}'
 stmts : stmt % ';'
 stmt : simple? | decl | 'return' exprs? | 'break' NAME? | 'continue' NAME? | 'goto' NAME | 'fallthrough' | block | if | switch | select | for | NAME ':' stmt | 'go' expr | 'defer' expr
-simple : expr | expr '<-' expr | expr ('++' | '--') | exprs assignop exprs | exprs ':=' exprs
 assignop : '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^='
-if : 'if' (simple? ';')? expr block ('else' (if | block))?
-switch : 'switch' (simple? ';')? simple? '{' clause* '}'
+if : 'if' (simpleH? ';')? exprH block ('else' (if | block))?
+switch : 'switch' (simpleH? ';')? simpleH? '{' clause* '}'
 clause : ('case' (expr | littype) % ',' | 'default') ':' stmts
 select : 'select' '{' comm* '}'
 comm : ('case' simple | 'default') ':' stmts
-for : 'for' block | 'for' expr block | 'for' simple? ';' expr? ';' simple? block | 'for' (exprs ('=' | ':='))? 'range' expr block
-exprs : expr % ','
-expr : unary | expr binop unary
+for : 'for' block | 'for' exprH block | 'for' simpleH? ';' exprH? ';' simpleH? block | 'for' (exprsH ('=' | ':='))? 'range' exprH block
+@expressions@
 binop : '||' | '&&' | '==' | '!=' | '<' | '<=' | '>' | '>=' | '+' | '-' | '|' | '^' | '*' | '/' | '%' | '<<' | '>>' | '&' | '&^'
-unary : ('+' | '-' | '!' | '^' | '*' | '&' | '<-') unary | primary
-primary : operand | primary '.' NAME | primary '.' '(' (type | 'type') ')' | primary '[' index ']' | primary '(' args? ')'
-operand : NAME | NUMBER | STRING | CHAR | '(' expr ')' | 'func' signature block | composite | littype '(' expr ','? ')' | '(' littype ')' '(' expr ','? ')'
 index : (expr | littype) %% ',' | expr? ':' expr? | expr? ':' expr ':' expr
 args : arg %% ',' | arg % ',' '...' ','?
 arg : expr | littype
-composite : (tname | littype) lbody
 lbody : '{' (element %% ',')? '}'
 element : (value ':')? value
 value : expr | lbody
 """
 
+#: Expressions, and (H) those between a keyword and the block it opens: there a composite literal of a named type needs parentheses.
+_GO_EXPRESSIONS = r"""
+simple@ : expr@ | expr@ '<-' expr@ | expr@ ('++' | '--') | exprs@ assignop exprs@ | exprs@ ':=' exprs@
+exprs@ : expr@ % ','
+expr@ : unary@ | expr@ binop unary@
+unary@ : ('+' | '-' | '!' | '^' | '*' | '&' | '<-') unary@ | primary@
+primary@ : operand@ | primary@ '.' NAME | primary@ '.' '(' (type | 'type') ')' | primary@ '[' index ']' | primary@ '(' args? ')'
+operand@ : NAME | NUMBER | STRING | CHAR | '(' expr ')' | 'func' signature block | composite@ | littype '(' expr ','? ')' | '(' littype ')' '(' expr ','? ')'
+"""
+GO = GO.replace("@expressions@", _GO_EXPRESSIONS.replace("@", "").strip() + _GO_EXPRESSIONS.replace("@", "H") + "composite : (tname | littype) lbody\ncompositeH : littype lbody")
+
 RUST = r"""
 file : inner* item*
 inner : '#' '!' '[' tokens ']'
@@ -306,7 +311,7 @@ iclause : ident | named | '*' 'as' ident | ident ',' (named | '*' 'as' ident)
 named : '{' (spec %% ',')? '}'
 spec : «type» xname ('as' xname)?
 xname : name | STRING
-attrs : ('with' | 'assert') '{' (((name | STRING) ':' STRING) %% ',')? '}'
+attrs : (with | 'assert') '{' (((name | STRING) ':' STRING) %% ',')? '}'
 export : 'export' «type» named ('from' STRING attrs?)? semi | 'export' «type» '*' ('as' xname)? 'from' STRING attrs? semi | 'export' decl | 'export' vars semi
   | 'export' 'default' (assignD semi | function | class) «export»
 decl : function | class «decl»
@@ -329,9 +334,16 @@ method : ('async'? '*'? | 'get' | 'set') propname «opt» «tparams» '(' params
 propname : name | STRING | NUMBER | '[' assign ']' | PRIVATE
 expr : assign % ','
 exprS : assignS | assignS ',' expr
-assign : cond | call assignop assign | arrow | yield «assign»
-assignS : condS | callS assignop assign | arrow | yield «assign»
-assignD : cond | call assignop assign | arrow | yield «assign»
+assign : cond | call assignop assign | cover '=' assign | arrow | yield «assign»
+assignS : condS | callS assignop assign | coverA '=' assign | arrow | yield «assign»
+assignD : cond | call assignop assign | cover '=' assign | arrow | yield «assign»
+cover : coverO | coverA
+coverO : '{' cprops ','? '}'
+coverA : '[' celems ','* ']'
+cprops : cprop | props ',' cprop | cprops ',' prop | cprops ',' cprop
+cprop : ident '=' assign | propname ':' cover
+celems : ','* carg | elemlist ','+ carg | celems ','+ (arg | carg)
+carg : '...'? cover
 yield : 'yield' | 'yield' '*'? assign
 arrow : 'async'? ident '=>' abody | 'async'? «tparams» '(' params ')' «ret» '=>' abody
 abody : blockF | assignS | function | class
@@ -352,13 +364,17 @@ arg : '...'? assign
 primary : primaryS | object | function | class
 primaryS : ident | NUMBER | STRING | REGEX | template | 'this' | 'super' | 'null' | 'true' | 'false' | '(' expr ')' | '[' elems? ']' | 'new' member1 | 'new' '.' name | 'import' args | 'import' '.' name
 member1 : primary | member1 '.' (name | PRIVATE) | member1 '[' expr ']' | member1 template
-elems : ','+ | ','* arg (','+ arg)* ','*
-object : '{' (prop %% ',')? '}'
-prop : ident | ident '=' assign | propname ':' assign | method | '...' assign
+elems : ','+ | elemlist ','*
+elemlist : ','* arg | elemlist ','+ arg
+object : '{' '}' | '{' props ','? '}'
+props : prop | props ',' prop
+prop : ident | propname ':' assign | method | '...' assign
 template : TFULL | THEAD expr (TMID expr)* TTAIL
-ident : NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'as' | 'from' | 'target' | 'assert' | 'using' | 'let' «ident»
+with : 'with' | WITH
+ident : lexical | 'let'
+lexical : NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'as' | 'from' | 'target' | 'assert' | 'using' «ident»
 name : NAME | 'async' | 'of' | 'get' | 'set' | 'static' | 'as' | 'from' | 'target' | 'assert' | 'using' | 'let' | 'await' | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else'
-  | 'export' | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with' | 'yield' | 'enum' «ident»
+  | 'export' | 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super' | 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | with | 'yield' | 'enum' «ident»
 """
 
 _WORDS = "'type' | 'interface' | 'namespace' | 'module' | 'declare' | 'abstract' | 'public' | 'private' | 'protected' | 'readonly' | 'override' | 'accessor' | 'keyof' | 'unique' | 'infer' | 'is' | 'asserts' | 'satisfies' | 'implements' | 'global' | 'require' | 'out'"
@@ -416,12 +432,13 @@ sig : tparams? '(' params ')' ret?
 """
 
 
-#: Statements outside (no suffix) and inside (F) of functions: only there may they return.
+#: Statements by what may stand in them: F inside of functions (return), B in a switch (break), L in a loop (break, continue).
+#: WITH is the word where it may begin a statement, which it may not in strict code.
 _STATEMENTS = r"""
 stmt@ : block@ | vars semi | decl | ';' | exprS semi | 'if' '(' expr ')' stmt@ ('else' stmt@)?
-  | 'for' 'await'? '(' forinit? ';' expr? ';' expr? ')' stmt@ | 'for' 'await'? '(' (varkind binding | call) ('of' assign | 'in' expr) ')' stmt@
-  | 'while' '(' expr ')' stmt@ | 'do' stmt@ 'while' '(' expr ')' (';' | ASI)? | 'continue' ident? semi | 'break' ident? semi | 'with' '(' expr ')' stmt@
-  | 'switch' '(' expr ')' '{' case@* '}' | ident ':' stmt@ | 'throw' expr semi | 'try' block@ (catch@ finally@? | finally@) | 'debugger' semi
+  | 'for' 'await'? '(' forinit? ';' expr? ';' expr? ')' stmt@L | 'for' 'await'? '(' (varkind binding | call | cover) ('of' assign | 'in' expr) ')' stmt@L
+  | 'while' '(' expr ')' stmt@L | 'do' stmt@L 'while' '(' expr ')' (';' | ASI)? | 'break' ident semi | WITH '(' expr ')' stmt@
+  | 'switch' '(' expr ')' '{' case@B* '}' | ident ':' stmt@ | 'throw' expr semi | 'try' block@ (catch@ finally@? | finally@) | 'debugger' semi«jump»
 block@ : '{' stmt@* '}'
 case@ : ('case' expr | 'default') ':' stmt@*
 catch@ : 'catch' ('(' binding «ann» ')')? block@
@@ -429,19 +446,32 @@ finally@ : 'finally' block@
 """
 
 
+def _statements() -> str:
+    out = ""
+    for function in ("", "F"):
+        for place in ("", "B", "L"):
+            jumps = ("| 'return' expr? semi " if function else "") + ("| 'break' semi " if place else "") + ("| 'continue' ident? semi" if place == "L" else "")
+            text = _STATEMENTS.replace("stmt@L", f"stmtL{function}").replace("case@B", f"case{place or 'B'}{function}").replace("«jump»", jumps)
+            # A switch body stands in no statement position of its own where nothing may break.
+            text = "\n".join(line for line in text.split("\n") if place or not line.startswith("case@"))
+            out += text.replace("@", place + function)
+    return out
+
+
 def _script(slots: dict[str, str], more: str = "") -> str:
     import re
 
-    inside = _STATEMENTS.replace("@", "F").replace("| 'debugger' semi", "| 'debugger' semi | 'return' expr? semi")
-    text = _SCRIPT.replace("@statements@", _STATEMENTS.replace("@", "") + inside)
+    text = _SCRIPT.replace("@statements@", _statements())
     return re.sub("«(\\w+)»", lambda m: slots.get(m[1], ""), text) + more
 
 
-_STRICT_VARS = """vars : ('var' | 'let' | 'using') declarator % ',' | 'const' constant % ','
+_STRICT_VARS = """vars : 'var' declarator % ',' | ('let' | 'using') lexicals % ',' | 'const' constant % ','
 declarator : ident ('=' assign)? | pattern '=' assign
-constant : binding '=' assign"""
-_TYPED_VARS = """vars : varkind declarator % ','
-declarator : binding '!'? (':' type)? ('=' assign)?"""
+lexicals : lexical ('=' assign)? | pattern '=' assign
+constant : (lexical | pattern) '=' assign"""
+_TYPED_VARS = """vars : 'var' declarator % ',' | ('let' | 'const' | 'using') lexicals % ','
+declarator : binding '!'? (':' type)? ('=' assign)?
+lexicals : (lexical | pattern) '!'? (':' type)? ('=' assign)?"""
 JAVASCRIPT = _script({"mods": "'static'?", "vars": _STRICT_VARS})
 TYPESCRIPT = _script(_TYPED | {"vars": _TYPED_VARS}, _TYPES)
 #: The this parameter of TypeScript and template types need no rule of their own above.

@@ -30,10 +30,26 @@ def _grammar(language: str) -> str:
     return text
 
 
+@lru_cache(maxsize=2)
 def make_tables(languages: tuple[str, ...] = LANGUAGES) -> dict[str, dict]:
     return {name: build(_grammar(name)) for name in languages}
 
 
+def _strict(kinds: list[str], text: str, places: list[int]) -> bool:
+    """Is a script strict as a whole: a module, or one that begins with the directive?"""
+    if text[places[0] :].startswith(("'use strict'", '"use strict"')):
+        return True
+    depth = 0
+    for i, k in enumerate(kinds):
+        if k in ("{", "(", "["):
+            depth += 1
+        elif k in ("}", ")", "]"):
+            depth -= 1
+        elif not depth and (k == "export" or k == "import" and kinds[i + 1 : i + 2] not in (["("], ["."])) and (not i or kinds[i - 1] not in (".", "?.")):
+            return True
+    return False
+
+
 class Parser:
     def __init__(self, language: str, tables: dict):
         self.lex = lexers.lex_js if language in ("javascript", "typescript") else getattr(lexers, f"lex_{language}")
@@ -43,6 +59,7 @@ class Parser:
         self.ids |= {word: -1 for word in grammars.RESERVED[language]}
         self.name = ids["NAME"]
         self.asi = ids.get("ASI", -1)
+        self.sloppy_with = ids.get("WITH", -1)
         self.skip_bom = language != "python"
 
     def check(self, text: str) -> SyntaxFault | None:
@@ -51,6 +68,8 @@ class Parser:
             text = text[1:]
         kinds, places, lines = self.lex(text)
         get, name = self.ids.get, self.name
+        if self.sloppy_with >= 0 and "with" in kinds and not _strict(kinds, text, places):
+            get = (self.ids | {"with": self.sloppy_with}).get
         terms = []
         for k in kinds:
             i = get(k)

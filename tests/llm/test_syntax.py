@@ -49,6 +49,49 @@ BAD = {
 }
 
 
+#: Cases of the language specifications: what the words of a rule allow, and what they forbid.
+BY_SPECIFICATION = {
+    "go": {
+        True: [
+            "package a\nfunc f() { if x == (T{1}) { } }", "package a\nfunc f() { for _, v := range []T{{1}} { } }", "package a\nfunc f() { if f(T{1}) { } ; if a[T{1}.b] { } ; if v, ok := m[K{1}]; ok { } }",
+            "package a\nfunc f() { if err := g(func() error { return T{1} }); err != nil { } }", "package a\nfunc f() { for x.y { } ; for { } ; for ; ; { } }", "package a\nfunc f() { if x := struct{ a int }{1}; x.a == 1 { } }", "package a\nfunc f() { switch { default: } ; switch x := y.(type) { case int: } }",
+            "package a\nvar x = [...]string{2: `a`, 3: \"b\"}", "package a\nvar x = map[string]struct{ a, b int }{\"k\": {1, 2}}", "package a\ntype F func(a, b int, z float64, opt ...interface{}) (success bool)", "package a\nfunc f() { select {} }", "package a\nfunc f() { Outer: for { break Outer } }",
+            "package a\nfunc G[P interface{ ~int }](x P) P { return x }", "package a\nvar y = G[int](1)", "package a\nconst ( a, b = iota, iota + 1; c, d )", "package a\nfunc (p *T) M() {}\nvar f = (*T).M", "package a\nvar c = 0x1p-2 + 0b101 + 0o17 + 1_000i",
+        ],
+        False: [
+            "package a\nfunc f() { if x == T{1} { } }", "package a\nfunc f() { for i := range T{1} { } }", "package a\nfunc f() { switch T{} { } }", "package a\nfunc f() { if x { } \n else { } }", "package a\nfunc f() { x := [3]int{1, 2, 3\n} }", "package a\nfunc f(a int, b) { } ; func",
+            "package a\nfunc f() { var x int = }", "package a\nimport a.b", "package a\nfunc f() { for i := 0; i < 3 { } }", "package a\ntype T struct { a int, b int }", "package a\nfunc f() { x++ + 1 }", "package a\nfunc f() { return return }",
+        ],
+    },
+    "typescript": {
+        True: [
+            "for (const a of b) { if (c) { continue } break }", "const f = ({ a = 1 }: T): void => {}", "({ a = 1 } = x)", "function f() { for (;;) { return } switch (a) { case 1: break } }", "abstract class A<T extends object = {}> extends B<T> implements C, D { protected abstract readonly x?: T; static #y = 1; declare z: string }",
+            "function f<const T>(x: T): x is T; function f(x: any): any { return x }", "type A = `a${string}b` | keyof typeof x | T[K][number]", "let x = y as const, z = <T>y, w = y!.a!", "export abstract class A { abstract get x(): number; abstract set x(v: number) }", "type M = { -readonly [K in keyof T as `x${K}`]-?: T[K] }",
+            "import x = require('y'); export = x", "declare global { interface Window { a: string } }", "let f: new (...args: any[]) => T; let g: (this: T, a?: number) => asserts a is string", "enum A { X = 1 << 2, Y = X | 1, 'z' }", "class A { constructor(readonly a: string, private b?: number) { super() } [k: string]: any }", "type T1 = [first: string, ...rest: number[]]",
+        ],
+        False: [
+            "break", "continue", "let let: number = 1", "({ a = 1 })", "class A { x: }", "type A = { a: string", "interface I { a: string } }", "function f(a?: ) {}", "let x: Map<string, = 1", "enum E { A B }", "const f = (a: number b: string) => 1", "import { a from 'b'", "class A extends { }x", "let x: [a, = 1", "declare module { }",
+        ],
+    },
+    "javascript": {
+        True: [
+            "({ a = 1 } = x)", "({ a = 1 }) => a", "async ({ a = 1 }) => a", "[{ a = 1 }] = x", "({ a: { b = 1 } } = x)", "({ a: [{ b = 1 }], c } = x)", "for ({ a = 1 } of b) ;", "x = { a, b: c, [d]: e, ...f }; [1, , 2, ...x,]; [,]; [, a]", "[a, b] = [b, a]", "var let = 1",
+            "for (;;) { break; continue; if (a) break; else continue }", "while (a) { switch (b) { case 1: break; default: continue } }", "l: { break l }", "for (const x of y) for (const z of x) { try { break } catch (e) { continue } finally { break } }", "switch (a) { case 1: if (b) { break } { break } }", "do { if (a) continue } while (b)",
+            "with (a) { b }", "a.with(1); ({ with: 1 }); class A { with() {} }", "'use strict'; a.with(1, 2)", "import x from 'y' with { type: 'json' }",
+        ],
+        False: [
+            "({ a = 1 })", "f({ a = 1 })", "[{ a = 1 }]", "({ a: { b = 1 } })", "let let = 1", "const let = 1", "break;", "continue;", "switch (a) { case 1: continue }", "function f() { break }", "for (;;) { function f() { break } }", "for (;;) { x(() => { continue }) }", "'use strict'; with (a) { b }", "import x from 'y'\nwith (a) { b }", "export {}; with (a) b",
+        ],
+    },
+}
+
+
+@pytest.mark.parametrize("language", sorted(BY_SPECIFICATION))
+def test_cases_of_the_specification(language):
+    for valid, texts in BY_SPECIFICATION[language].items():
+        assert not [t for t in texts if (parsers()[language].check(t) is None) != valid]
+
+
 @pytest.mark.parametrize("language", sorted(GOOD))
 def test_valid_texts(language):
     wrong = [(t, parsers()[language].check(t)) for t in GOOD[language] if parsers()[language].check(t)]
