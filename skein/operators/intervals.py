@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import checkpointed, shuffle_parts
+from ..common import checkpointed, parts_for
 
 _LEAST = np.iinfo(np.int64).min
 _PIECES = "entity string, kind string, start long, end long, pid int, edge int"
@@ -133,7 +133,7 @@ def merge_intervals(df: DataFrame, entity: Column, start: Column, end: Column, s
     ).filter("entity is not null and start is not null and end is not null and end > start")
     by = ["entity", "start", "end"]
     ranged = (
-        rows.repartitionByRange(partitions or shuffle_parts(spark), *by, "_spread").drop("_spread").sortWithinPartitions(*by).withColumn("pid", F.spark_partition_id())
+        rows.repartitionByRange(partitions or parts_for(rows), *by, "_spread").drop("_spread").sortWithinPartitions(*by).withColumn("pid", F.spark_partition_id())
     )
     ranged = checkpointed(ranged)
     summary = ranged.mapInPandas(_summaries, "pid int, first string, first_end long, last string, last_end long").collect()
