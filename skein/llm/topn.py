@@ -1,97 +1,143 @@
 """Top N items of every group by statistics-guided skipping.
 
-1. Rows are range-sorted by (hash of the group, group, score descending, tie)
-   and written once as Parquet with small row groups.  A group of any size is
-   cut over as many files as it needs, since the range key goes on below the
-   group.
-2. The footers alone tell, for every row group, its groups and its largest and
-   smallest score.  A row group that lies wholly within one group and has at
-   least N rows bounds that group's N-th score from below by its smallest
-   score; every row group strictly below that bound is dropped unread.
-3. Each file's remaining row groups are read in descending maximum score; one
-   of a single group that lies strictly below the N-th score seen so far is
-   skipped.
-4. A group inside one file is final there.  Only groups that touch a file's
-   edge (at most two a file, N rows each) meet again in a small window.
+1. Each partition of the input drops the rows that N others of their group in
+   the same partition beat.  No such row can be among the N of the whole, and
+   however many items a group has, at most N a partition of it go on.
+2. What is left is clustered into Parquet files by group, each group whole in
+   one file, and sorted by group and score descending, in small row groups.
+3. The footer alone tells, for every row group, its groups and its largest and
+   smallest score.  A row group of one single group with at least N rows bounds
+   that group's N-th score from below by its smallest score; those strictly
+   below the bound are dropped unread.
+4. The other row groups of a file are read one after the other, which for each
+   group is the order of descending maximum score.  One of a single group that
+   lies strictly below the N-th score read so far is skipped.
 """
 
 from __future__ import annotations
 
-import heapq
-import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..common import checkpointed, scratch_path, shuffle_parts
+from ..common import parts_for, scratch_path, size_in_bytes
+
+#: Rows a task holds at most before it passes on what is left of them.
+_HELD_ROWS = 1_000_000
 
 
 def _opened(path: str):
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
+    # The schemes of Hadoop's own clients name the same stores.
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
     return pq.ParquetFile(system.open_input_file(inner))
 
 
-def _footers(groups: list[str]):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for path in pdf["path"]:
-                meta = _opened(path).metadata
-                at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
-                own = []
-                for k in range(meta.num_row_groups):
-                    g = meta.row_group(k)
-                    hashes, scores = g.column(at["_g"]).statistics, g.column(at["_score"]).statistics
-                    keys = [g.column(at[f"_k{i}"]).statistics for i in range(len(groups))]
-                    single = hashes.min == hashes.max and all(s is not None and s.has_min_max and s.min == s.max for s in keys)
-                    own.append((path, k, g.num_rows, hashes.min, hashes.max, json.dumps([x.min for x in keys]) if single else None, scores.min, scores.max))
-                if own:
-                    lo, hi = min(x[3] for x in own), max(x[4] for x in own)
-                    rows += [(*x, lo, hi) for x in own]
-            yield pd.DataFrame(rows, columns=["path", "rg", "n", "gmin", "gmax", "only", "smin", "smax", "file_gmin", "file_gmax"])
-
-    return read
-
-
-def _survivors(keys: list[str], n: int, edge: bool):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        plan = [pdf for pdf in batches if len(pdf)]
-        if not plan:
-            return
-        cols = ["_g", *keys, "_score", "_tie"]
-        for path, own in pd.concat(plan).groupby("path"):
-            file, nth, parts = _opened(path), {}, []
-            for row in own.sort_values("smax", ascending=False, kind="stable").itertuples():
-                best = nth.get(row.only) if row.only else None
-                if best is not None and len(best) >= n and row.smax < best[0]:
-                    continue
-                got = file.read_row_group(row.rg, columns=cols).to_pandas()
-                new = got["_g"].to_numpy()[1:] != got["_g"].to_numpy()[:-1]
-                for k in keys:
-                    new |= got[k].to_numpy()[1:] != got[k].to_numpy()[:-1]
-                starts = np.r_[0, np.flatnonzero(new) + 1]
-                sizes = np.diff(np.r_[starts, len(got)])
-                got = got[np.arange(len(got)) - np.repeat(starts, sizes) < n]
-                if row.only:
-                    best = nth.setdefault(row.only, [])
-                    for score in got["_score"]:
-                        heapq.heappush(best, score) if len(best) < n else heapq.heappushpop(best, score)
-                parts.append(got)
-            out = pd.concat(parts).sort_values(["_g", *keys, "_score", "_tie"], ascending=[True, *[True] * len(keys), False, True], kind="stable")
-            out = out[out.groupby(["_g", *keys]).cumcount() < n]
-            yield out[out["_g"].isin(list(own[["file_gmin", "file_gmax"]].iloc[0])) == edge]
-
-    return read
-
-
-def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: int, partitions: int | None = None, row_group_bytes: int = 256 << 10) -> DataFrame:
+def _changes(table: pa.Table, keys: list[str], by: np.ndarray) -> np.ndarray:
+    """Where each group begins in a table sorted by group; ``by`` is its hash column."""
+    new = by[1:] != by[:-1]
+    for k in keys:
+        column = table[k].combine_chunks() if isinstance(table[k], pa.ChunkedArray) else table[k]
+        new = new | pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+    return np.r_[True, new] if len(by) else np.empty(0, dtype=bool)
+
+
+def _ranks(new: np.ndarray) -> np.ndarray:
+    """Place of each row in its run, from 0."""
+    at = np.arange(len(new))
+    return at - np.maximum.accumulate(np.where(new, at, 0))
+
+
+def _best(table: pa.Table, keys: list[str], n: int) -> pa.Table:
+    """The n best rows of every group of the table, in sorted order."""
+    by, score, tie = (table[c].to_numpy() for c in ("_g", "_score", "_tie"))
+    order = np.lexsort((tie, -score, by))
+    out = table.take(pa.array(order))
+    hashes = by[order]
+    new = _changes(out, keys, hashes)
+    if (new[1:] & (hashes[1:] == hashes[:-1])).any():  # two groups of one hash lie mixed
+        order = pc.sort_indices(table, [("_g", "ascending"), *((k, "ascending") for k in keys), ("_score", "descending"), ("_tie", "ascending")])
+        out = table.take(order)
+        new = _changes(out, keys, out["_g"].to_numpy())
+    return out.filter(pa.array(_ranks(new) < n))
+
+
+def _beaten_dropped(keys: list[str], n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        rows, limit = 0, _HELD_ROWS
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows > limit:
+                held = [_best(pa.concat_tables(held), keys, n)]
+                rows = held[0].num_rows
+                if rows > _HELD_ROWS // 2:  # many groups; what is held cannot shrink much
+                    yield from held[0].combine_chunks().to_batches(max_chunksize=100_000)
+                    held, rows = [], 0
+        if rows:
+            yield from _best(pa.concat_tables(held), keys, n).combine_chunks().to_batches(max_chunksize=100_000)
+
+    return run
+
+
+def _plan(meta, keys: list[str], n: int) -> list[tuple[int, tuple | None, float]]:
+    """(row group, its only group or None, largest score) of the row groups that may hold one of the n best, by the footer alone."""
+    at = {meta.schema.column(i).path: i for i in range(meta.num_columns)}
+    groups, bounds = [], {}
+    for k in range(meta.num_row_groups):
+        g = meta.row_group(k)
+        named = [g.column(at[c]).statistics for c in ("_g", *keys)]
+        single = all(s is not None and s.has_min_max and s.min == s.max for s in named)
+        only = tuple(s.min for s in named) if single else None
+        scores = g.column(at["_score"]).statistics
+        low, high = (scores.min, scores.max) if scores is not None and scores.has_min_max else (-np.inf, np.inf)
+        groups.append((k, only, high))
+        if only is not None and g.num_rows >= n:
+            bounds[only] = max(bounds.get(only, -np.inf), low)
+    return [x for x in groups if x[1] is None or x[2] >= bounds.get(x[1], -np.inf)]
+
+
+def _survivors(keys: list[str], n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                file = _opened(path)
+                group, count, nth = None, 0, -np.inf  # the group read last, how many of its rows, the score of the n-th
+                for k, only, high in _plan(file.metadata, keys, n):
+                    if only is not None and only == group and count >= n and high < nth:
+                        continue
+                    table = file.read_row_group(k, columns=["_g", *keys, "_score", "_tie"])
+                    new = _changes(table, keys, table["_g"].to_numpy())
+                    if not len(new):
+                        continue
+                    named = lambda i: tuple(table[c][i].as_py() for c in ("_g", *keys))
+                    ranks = _ranks(new)
+                    starts = np.flatnonzero(new)
+                    if named(0) == group:
+                        ranks[: starts[1] if len(starts) > 1 else len(ranks)] += count
+                    else:
+                        nth = -np.inf
+                    last, score = int(starts[-1]), table["_score"].to_numpy()
+                    if len(starts) > 1:
+                        nth = -np.inf
+                    here = np.flatnonzero(ranks[last:] == n - 1)
+                    nth = float(score[last + here[0]]) if len(here) else nth
+                    group, count = named(last), int(ranks[-1]) + 1
+                    yield from table.filter(pa.array(ranks < n)).combine_chunks().to_batches()
+
+    return run
+
+
+def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: int, partitions: int | None = None, row_group_bytes: int | None = None) -> DataFrame:
     """The ``n`` rows of each group with the highest score: (groups, tie, score).
 
     At equal scores the smaller ``tie`` wins; ``tie`` must be unique in its
@@ -99,8 +145,11 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: i
     tie, or a null or NaN score drop out; +-infinity are ordinary scores.
     Smaller groups give all their rows; an empty input gives an empty result.
     Only the named columns are read, so others may have any name.
-    ``row_group_bytes`` sets how fine the statistics are; a row group costs a
-    line of them, so larger tables want larger ones.
+
+    No group is ever whole in one place before its beaten rows are gone: of a
+    group of any size at most ``n`` rows a partition of the input are moved.
+    ``row_group_bytes`` sets how fine the statistics are; by default a file has
+    about 64 row groups, of 256 KB to 128 MB.
     """
     spark = df.sparkSession
     keys = [f"_k{i}" for i in range(len(groups))]
@@ -108,25 +157,14 @@ def top_n_per_group(df: DataFrame, groups: list[str], score: str, tie: str, n: i
         F.xxhash64(*groups).alias("_g"), *[F.col(f"`{g}`").cast("string").alias(k) for g, k in zip(groups, keys)], (F.col(f"`{score}`").cast("double") + F.lit(0.0)).alias("_score"), F.col(f"`{tie}`").cast("long").alias("_tie")
     ).dropna()
     rows = rows.filter(~F.isnan("_score"))
-    order = [F.col("_g"), *[F.col(k) for k in keys], F.col("_score").desc(), F.col("_tie")]
+    parts = partitions or parts_for(df)
+    block = row_group_bytes or min(128 << 20, max(256 << 10, size_in_bytes(df) // parts // 64))
+    schema = f"_g long, {', '.join(f'{k} string' for k in keys)}, _score double, _tie long"
     path = scratch_path(spark, "topn")
-    parts = partitions or shuffle_parts(spark)
-    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).write.option("parquet.block.size", row_group_bytes).parquet(path)
+    left = rows.mapInArrow(_beaten_dropped(keys, n), schema)
+    left.repartition(parts, "_g").sortWithinPartitions("_g", *keys, F.col("_score").desc(), "_tie").write.option("parquet.block.size", block).parquet(path)
 
-    schema = T.StructType([T.StructField("_g", T.LongType()), *[T.StructField(k, T.StringType()) for k in keys], T.StructField("_score", T.DoubleType()), T.StructField("_tie", T.LongType())])
     files = spark.read.schema(schema).parquet(path).inputFiles()
-    listed = spark.createDataFrame([(f,) for f in files], "path string")
-    # One row per row group, read once.
-    stats = checkpointed(listed.repartition(max(1, min(parts, len(files)))).mapInPandas(
-        _footers(groups), "path string, rg int, n long, gmin long, gmax long, only string, smin double, smax double, file_gmin long, file_gmax long"
-    ))
-    # ``only`` names the group of a row group that has just one.
-    bounds = stats.filter(F.col("only").isNotNull() & (F.col("n") >= n)).groupBy("only").agg(F.max("smin").alias("bound"))
-    kept = stats.join(bounds, "only", "left").filter("bound is null or smax >= bound").drop("bound")
-    inside = kept.repartition(parts, "path").mapInPandas(_survivors(keys, n, False), schema)
-    # Only the row groups that hold a file's first or last group are read for the edges.
-    rims = kept.filter("gmin in (file_gmin, file_gmax) or gmax in (file_gmin, file_gmax)")
-    outside = rims.repartition(parts, "path").mapInPandas(_survivors(keys, n, True), schema)
-    rank = F.row_number().over(Window.partitionBy("_g", *keys).orderBy(F.col("_score").desc(), "_tie"))
-    outside = outside.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-    return inside.unionByName(outside).select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("_tie").alias(tie), F.col("_score").alias(score))
+    listed = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)))
+    best = listed.mapInArrow(_survivors(keys, n), schema)
+    return best.select(*[F.col(k).alias(g) for g, k in zip(groups, keys)], F.col("_tie").alias(tie), F.col("_score").alias(score))
