@@ -3,7 +3,7 @@
 Per group, the baskets form a sparse binary matrix B of records by items, and
 B'B holds n_ab.  It is computed in blocks: items are cut into blocks of about
 ``item_block`` items, records into blocks of about ``record_block`` records,
-and one task multiplies the two item blocks of one record block.  Its nonzero
+and one task multiplies the two sparse item blocks of one record block.  Its nonzero
 counts are added over record blocks, and the sums are compared with the
 product of the marginals.  A hot group only has more blocks; no task ever
 holds a whole group, and no pair of one basket is written as a row.
@@ -24,44 +24,53 @@ from pyspark.sql import functions as F
 
 from ..common import checkpointed
 
-#: Cells of the dense count tile one product fills at most.
+#: Cells of the count tile that one product fills at most, and pairs that are unfolded at a time.
 _TILE = 4_000_000
 
 
+#: Items that are sent to all tasks at most: each holds more than one of so many parts of all occurrences.
+_HOT = 10_000
+
+
+def _lists(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The items of a side, and its occurrences as (record, item number), sorted by record."""
+    items, at = np.unique(part["item"].to_numpy(), return_inverse=True)
+    rec = part["rec"].to_numpy()
+    order = np.argsort(rec, kind="stable")
+    return items, rec[order], at[order]
+
+
 def _gram(left: pd.DataFrame, right: pd.DataFrame | None, least: int):
-    """Nonzero entries of L'R, or of the strict upper half of L'L."""
-    records = pd.unique(left["rec"]) if right is None else np.intersect1d(left["rec"].unique(), right["rec"].unique())
-    if not len(records):
-        return None
-    index = pd.Index(records)
-
-    def matrix(part: pd.DataFrame):
-        at = index.get_indexer(part["rec"])
-        part = part[at >= 0]
-        items, cols = np.unique(part["item"].to_numpy(), return_inverse=True)
-        return items, at[at >= 0], cols
-
-    a_items, a_rows, a_cols = matrix(left)
-    b_items, b_rows, b_cols = (a_items, a_rows, a_cols) if right is None else matrix(right)
-    if len(a_items) * len(b_items) > _TILE * 16:
-        raise ValueError("item block larger than planned")
-    total = np.zeros((len(a_items), len(b_items)), dtype=np.float32)
-    step = max(64, _TILE // max(len(a_items), len(b_items)))
-    for lo in range(0, len(records), step):
-        hi = min(lo + step, len(records))
-
-        def dense(rows, cols, width):
-            m = np.zeros((hi - lo, width), dtype=np.float32)
-            use = (rows >= lo) & (rows < hi)
-            m[rows[use] - lo, cols[use]] = 1
-            return m
-
-        x = dense(a_rows, a_cols, len(a_items))
-        total += x.T @ (x if right is None else dense(b_rows, b_cols, len(b_items)))
-    if right is None:
-        total = np.triu(total, 1)
-    i, j = np.nonzero(total >= least)
-    return a_items[i], b_items[j], total[i, j].astype(np.int64)
+    """Nonzero entries of L'R, or of the strict upper half of L'L, from the sparse rows.
+
+    Each occurrence on the left meets those of its record on the right; the
+    count tile is cut by items of the left, so that any number of items fits.
+    """
+    a_items, a_rec, a_at = _lists(left)
+    b_items, b_rec, b_at = (a_items, a_rec, a_at) if right is None else _lists(right)
+    height = max(1, _TILE // max(1, len(b_items)))
+    found = []
+    for top in range(0, len(a_items), height):
+        use = (a_at >= top) & (a_at < top + height)
+        rec, row = a_rec[use], a_at[use] - top
+        first = np.searchsorted(b_rec, rec, "left")
+        many = np.searchsorted(b_rec, rec, "right") - first
+        rows = min(height, len(a_items) - top)
+        total = np.zeros(rows * len(b_items), dtype=np.int64)
+        ends = np.cumsum(many)
+        lo = 0
+        while lo < len(rec):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _TILE, "right")))
+            n = many[lo:hi]
+            place = np.repeat(first[lo:hi] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            total += np.bincount(np.repeat(row[lo:hi] * len(b_items), n) + b_at[place], minlength=len(total))
+            lo = hi
+        at = np.flatnonzero(total >= least)
+        i, j = at // len(b_items) + top, at % len(b_items)
+        if right is None:
+            at, i, j = at[i < j], i[i < j], j[i < j]
+        found.append((a_items[i], b_items[j], total[at]))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else None
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -93,7 +102,7 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def pairs_above_chance(
-    baskets: DataFrame, groups: list[str], record: str, items: str, min_count: int = 5, min_lift: int = 3, item_block: int = 1024, record_block: int = 16384
+    baskets: DataFrame, groups: list[str], record: str, items: str, min_count: int = 5, min_lift: int = 3, item_block: int = 1024, record_block: int = 16384, least_hot: int = 1_000_000
 ) -> DataFrame:
     """(groups, item_a, item_b, n_ab, n_a, n_b, n) with n_ab >= min_count and n_ab * n >= min_lift * n_a * n_b.
 
@@ -101,7 +110,8 @@ def pairs_above_chance(
     group.  Null or empty item arrays and null elements hold nothing, an item
     counts once a record, records with a null group or record key drop out,
     item_a < item_b by code points.  An empty input gives an empty result.
-    Only the named columns are read.
+    Only the named columns are read.  An item of more than ``least_hot``
+    occurrences is joined without a shuffle.
     """
     gk = [f"_g{i}" for i in range(len(groups))]
     clean = baskets.select(
@@ -118,7 +128,14 @@ def pairs_above_chance(
     named = checkpointed(
         counts.join(sized, gk).select(*gk, "_item", "n_item", "n", "ib", "rbs", F.monotonically_increasing_id().alias("item"), F.xxhash64(*gk).alias("gid"), F.pmod(F.xxhash64("_item"), "ib").cast("int").alias("blk"))
     )
-    rows = each.join(named, [*gk, "_item"]).select(
+    # An item of many occurrences would meet in one task of a shuffled join.  There are at most _HOT of them, whose names are sent.
+    often = max(least_hot, (held.agg(F.sum(F.size("_items"))).first()[0] or 0) // _HOT)
+    hot = named.filter(F.col("n_item") > often)
+    if hot.isEmpty():
+        met = each.join(named, [*gk, "_item"])
+    else:
+        met = each.join(F.broadcast(hot), [*gk, "_item"]).unionByName(each.join(F.broadcast(hot.select(*gk, "_item")), [*gk, "_item"], "left_anti").join(named, [*gk, "_item"]))
+    rows = met.select(
         "gid", "item", "blk", "ib", "rec", F.pmod(F.xxhash64("rec"), "rbs").cast("int").alias("rb"), F.when(F.col("rbs") == 1, min_count).otherwise(1).alias("least")
     )
     # The blocks each occurrence takes part in: (blk, j) on the left and (i, blk) on the right, for the blocks j and i

@@ -2,8 +2,10 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import pandas as pd
 import pytest
 
+from skein.llm import pairs
 from skein.llm.pairs import pairs_above_chance
 from skein.llm.queries import _clean_paths
 
@@ -35,6 +37,24 @@ def test_against_brute_force(spark, item_block, record_block):
     assert got == brute(rows, 5, 2) and got
 
 
+def test_hot_items_are_sent(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("gh"), str(i), rng.choice([["all", "p", "q"], ["all", "x"], ["p", "q"], ["all"]]) + [f"i{rng.randrange(9)}"], None, 0) for i in range(300)]
+    got = {tuple(r) for r in pairs_above_chance(spark.createDataFrame(rows, SCHEMA), ["k"], "r", "items", 5, 1, least_hot=50).collect()}
+    assert got == brute(rows, 5, 1) and any("all" in r for r in got)
+
+
+def test_more_items_than_a_tile_holds(monkeypatch):
+    monkeypatch.setattr(pairs, "_TILE", 7)
+    rng = random.Random(4)
+    left = pd.DataFrame([(rng.randrange(20), rng.randrange(9)) for _ in range(80)], columns=["rec", "item"]).drop_duplicates()
+    right = pd.DataFrame([(rng.randrange(20), 100 + rng.randrange(9)) for _ in range(80)], columns=["rec", "item"]).drop_duplicates()
+    for other in (right, None):
+        want = Counter((a, b) for r in range(20) for a in left.item[left.rec == r] for b in (right if other is not None else left).item[(right if other is not None else left).rec == r] if other is not None or a < b)
+        a, b, n = pairs._gram(left, other, 2)
+        assert dict(zip(zip(a.tolist(), b.tolist()), n.tolist())) == {k: v for k, v in want.items() if v >= 2}
+
+
 def test_a_hot_item_and_a_long_basket(spark):
     rows = [("g", str(i), ["all", f"x{i % 3}"], None, 0) for i in range(60)] + [("g", "long", [f"f{i:04d}" for i in range(3000)], None, 0)] + [("g", f"y{i}", ["p", "q"], None, 0) for i in range(6)]
     got = {tuple(r)[1:4] for r in pairs_above_chance(spark.createDataFrame(rows, SCHEMA), ["k"], "r", "items", 5, 3).collect()}
