@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from skein.llm.leaks import leaked_items, longest_run, prefix_tokens, words_of
@@ -61,11 +62,19 @@ def test_repeated_words_nulls_and_empty(spark):
 def test_items_in_blocks_find_the_same(spark):
     items = [(i, " ".join(f"w{i}_{k}" for k in range(12))) for i in range(9)]
     docs = [(i, t, None, None) for i, t in items]
-    assert run(spark, docs, items, max_item_rows=2) == run(spark, docs, items) == {(i, i) for i in range(9)}
+    assert run(spark, docs, items, max_item_bytes=150) == run(spark, docs, items) == {(i, i) for i in range(9)}
 
 
 def test_prefix_is_the_rarest_shingle():
     w = [f"w{i}" for i in range(11)]
     counts = {tuple(w[i : i + 5]): 10 - i for i in range(7)}
     assert prefix_tokens({0: w}, 5, 10, counts) == {tuple(w[5:10]): [(0, 5)], tuple(w[6:11]): [(0, 6)]}
-    assert longest_run(["z", *w], w, 1) == 11
+    assert longest_run(np.array([9, 1, 2, 3, 7]), np.array([1, 2, 3]), 1) == 3
+    assert longest_run(np.array([1, 2, 8, 3, 4, 5]), np.array([1, 2, 3, 3, 4, 5, 6]), 0) == 3
+    assert longest_run(np.array([1]), np.array([1]), 4) == 0
+
+
+def test_repetitive_texts_do_not_blow_up(spark):
+    item = [(1, "no " * 2_000), (2, "yes " + "no " * 2_000 + "yes")]
+    docs = [(1, "no " * 200_000, None, None), (2, "no " * 1_999, None, None)]
+    assert run(spark, docs, item) == {(1, 1), (2, 1), (1, 2), (2, 2)}
