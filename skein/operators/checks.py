@@ -68,26 +68,51 @@ def deprecated_imports(imports: DataFrame, deprecated: DataFrame) -> DataFrame:
     return _row(imports.join(deprecated.select("target").distinct(), "target", "left_semi"), "intent", "guard", "file", F.col("target"))
 
 
+#: The shortest level of time buckets, in seconds, and the number of levels, each twice as wide as the one before.
+_FINEST, _LEVELS = 60.0, 40
+
+
+def _level(start: str, end: str) -> Column:
+    """The first level whose buckets are as wide as the interval is long, so that it lies in at most two of them."""
+    return F.least(F.greatest(F.ceil(F.log2((F.col(end) - F.col(start)) / _FINEST)), F.lit(0)), F.lit(_LEVELS)).cast("int")
+
+
+def _buckets(start: str, end: str, level: Column) -> Column:
+    width = F.lit(_FINEST) * F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))
+
+
 def lock_conflicts(locks: DataFrame) -> DataFrame:
     """JN21: (lock_a, lock_b, kind): locks of two agents that overlap in time and files.
 
     hard = both exclusive on a file, soft = exclusive against shared.  Locks
-    meet by file, so that only locks of one file are compared.
+    meet by file and time bucket: each stands in the at most two buckets of
+    the level of its own length, and looks into those of its own and all
+    longer levels.  So the locks of a hot file meet those of their time, not
+    all others.  Locks without a time, or that end before they start, drop out.
     """
-    long = locks.select("lock_id", "agent", "created_at", "expires_at", F.explode(F.concat(
+    long = locks.filter("expires_at > created_at").select("lock_id", "agent", "created_at", "expires_at", F.explode(F.concat(
         F.transform(F.array_distinct(F.coalesce("exclusive_files", F.array().cast("array<string>"))), lambda f: F.struct(f.alias("file"), F.lit(1).alias("x"))),
         F.transform(F.array_distinct(F.coalesce("shared_files", F.array().cast("array<string>"))), lambda f: F.struct(f.alias("file"), F.lit(0).alias("x"))),
     )).alias("e")).select("lock_id", "agent", "created_at", "expires_at", "e.file", "e.x").filter("file is not null")
-    a = long.select("file", F.col("lock_id").alias("lock_a"), F.col("agent").alias("aa"), F.col("created_at").alias("ca"), F.col("expires_at").alias("ea"), F.col("x").alias("xa"))
-    b = long.select("file", F.col("lock_id").alias("lock_b"), F.col("agent").alias("ab"), F.col("created_at").alias("cb"), F.col("expires_at").alias("eb"), F.col("x").alias("xb"))
-    hit = a.join(b, "file").filter("lock_a < lock_b and aa <> ab and ca < eb and cb < ea and xa + xb >= 1")
-    return hit.groupBy("lock_a", "lock_b").agg(F.when(F.max(F.col("xa") + F.col("xb")) == 2, "hard").otherwise("soft").alias("kind"))
+    long = long.withColumn("level", _level("created_at", "expires_at"))
+    most = long.agg(F.max("level")).first()[0] or 0
+    looks = long.withColumn("l", F.explode(F.sequence(F.col("level"), F.lit(most)))).withColumn("b", F.explode(_buckets("created_at", "expires_at", F.col("l"))))
+    stands = long.withColumn("l", F.col("level")).withColumn("b", F.explode(_buckets("created_at", "expires_at", F.col("l"))))
+    side = lambda df, n: df.select("file", "l", "b", F.col("lock_id").alias(f"lock_{n}"), F.col("agent").alias(f"a{n}"), F.col("created_at").alias(f"c{n}"), F.col("expires_at").alias(f"e{n}"), F.col("x").alias(f"x{n}"))
+    hit = side(looks, "a").join(side(stands, "b"), ["file", "l", "b"]).filter("lock_a <> lock_b and aa <> ab and ca < eb and cb < ea and xa + xb >= 1")
+    pairs = hit.select(F.least("lock_a", "lock_b").alias("lock_a"), F.greatest("lock_a", "lock_b").alias("lock_b"), (F.col("xa") + F.col("xb")).alias("x"))
+    return pairs.groupBy("lock_a", "lock_b").agg(F.when(F.max("x") == 2, "hard").otherwise("soft").alias("kind"))
 
 
 def locked_changes(touched: DataFrame, locks: DataFrame) -> DataFrame:
-    """JN22: changes to a file while someone held it exclusively."""
-    held = locks.select("lock_id", "created_at", "expires_at", F.explode("exclusive_files").alias("file")).filter("file is not null")
-    out = touched.join(held, "file").filter("ts >= created_at and ts < expires_at").select("commit_id", "file", "lock_id").distinct()
+    """JN22: changes to a file while someone held it exclusively; they meet by file and time bucket, as in ``lock_conflicts``."""
+    held = locks.filter("expires_at > created_at").select("lock_id", "created_at", "expires_at", F.explode("exclusive_files").alias("file")).filter("file is not null").withColumn("l", _level("created_at", "expires_at"))
+    most = held.agg(F.max("l")).first()[0] or 0
+    stands = held.withColumn("b", F.explode(_buckets("created_at", "expires_at", F.col("l"))))
+    width = lambda level: F.lit(_FINEST) * F.pow(F.lit(2.0), level)
+    looks = touched.filter("ts is not null").withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("b", F.floor(F.col("ts") / width(F.col("l"))))
+    out = looks.join(stands, ["file", "l", "b"]).filter("ts >= created_at and ts < expires_at").select("commit_id", "file", "lock_id").distinct()
     return _row(out, "lock", "hold", "file", F.col("lock_id"))
 
 

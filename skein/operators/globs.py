@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 
 def glob_regex(pattern: str) -> str:
-    """A shell pattern as an anchored regular expression; * and ? also match slashes."""
+    """A shell pattern as an anchored regular expression; * and ? also match slashes, [..] and [!..] are classes."""
     out = []
-    for part in re.findall(r"\*+|\?|[^*?]+", pattern):
-        out.append(".*" if part[0] == "*" else "." if part == "?" else re.escape(part))
+    for part in re.findall(r"\*+|\?|\[[!^]?\]?[^\]]*\]|[^*?\[]+|\[", pattern):
+        if part[0] == "*":
+            out.append(".*")
+        elif part == "?":
+            out.append(".")
+        elif part[0] == "[" and len(part) > 1:
+            inner = part[1:-1]
+            negated = inner[0] in "!^"
+            out.append("[" + ("^" if negated else "") + re.sub(r"([\\\[\]&^])", r"\\\1", inner[negated:]) + "]")
+        else:
+            out.append(re.escape(part))
     return "^" + "".join(out) + "$"
 
 
@@ -40,6 +49,6 @@ def include_paths(df: DataFrame, keys: list[str], path: str, patterns: list[str]
     order = F.lit(None).cast("int")
     for i in range(len(patterns) - 1, -1, -1):
         p = patterns[i]
-        named = F.col(path).rlike(glob_regex(p)) if re.search(r"[*?]", p) else (F.col(path) == p) | F.col(path).startswith(p.rstrip("/") + "/")
+        named = F.col(path).rlike(glob_regex(p)) if re.search(r"[*?\[]", p) else (F.col(path) == p) | F.col(path).startswith(p.rstrip("/") + "/")
         order = F.when(named, i).otherwise(order)
     return df.select(*keys, order.alias("ord")).filter("ord is not null")

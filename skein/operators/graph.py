@@ -17,30 +17,102 @@ from ..functions import scalar as S
 MAX_SENT_EDGES = 4_000_000
 
 
+def _sent(step: DataFrame):
+    """The adjacency for all tasks: node ids, where each one's targets begin, and the targets as places in the ids."""
+    table = step.select(F.col("src").cast("long"), F.col("dst").cast("long")).toArrow()
+    src, dst = table["src"].to_numpy(), table["dst"].to_numpy()
+    ids = np.unique(np.r_[src, dst])
+    order = np.argsort(src, kind="stable")
+    first = np.searchsorted(src[order], np.r_[ids, np.iinfo(np.int64).max] if len(ids) else [0])
+    return step.sparkSession.sparkContext.broadcast((ids, first, np.searchsorted(ids, dst[order]).astype(np.int32)))
+
+
+class _Walker:
+    """Breadth first from one root after the other, with one mark a node."""
+
+    def __init__(self, adjacency: tuple):
+        self.ids, self.first, self.to = adjacency
+        self.mark, self.round = np.zeros(len(self.ids), dtype=np.int64), 0
+
+    def rings(self, root: int, max_depth: int) -> Iterator[np.ndarray]:
+        """Places of the nodes first reached by one step, two steps, and so on."""
+        at = int(np.searchsorted(self.ids, root))
+        if at >= len(self.ids) or self.ids[at] != root:
+            return
+        self.round += 1
+        ring, depth = np.array([at]), 0
+        while len(ring) and depth < max_depth:
+            depth += 1
+            lo, n = self.first[ring], self.first[ring + 1] - self.first[ring]
+            near = self.to[np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
+            ring = np.unique(near[self.mark[near] != self.round])
+            self.mark[ring] = self.round
+            if len(ring):
+                yield ring
+
+
 def _reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """Breadth first in memory, each task over its own roots, with the whole adjacency."""
-    pairs = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).toPandas().sort_values("src")
-    heads, first = np.unique(pairs["src"].to_numpy(), return_index=True)
-    sent = edges.sparkSession.sparkContext.broadcast((heads, np.append(first, len(pairs)), pairs["dst"].to_numpy()))
+    sent = _sent(edges)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heads, first, dst = sent.value
+        walker = _Walker(sent.value)
         for pdf in batches:
             for root in pdf["id"]:
-                seen, ring, depth = np.empty(0, np.int64), np.array([root]), 0
-                while len(ring) and depth < max_depth:
-                    depth += 1
-                    at = np.searchsorted(heads, ring)
-                    at = at[(at < len(heads)) & (heads[np.minimum(at, len(heads) - 1)] == ring)] if len(heads) else at[:0]
-                    near = np.unique(np.concatenate([dst[first[i] : first[i + 1]] for i in at])) if len(at) else np.empty(0, np.int64)
-                    ring = np.setdiff1d(near, seen, assume_unique=True)
-                    if len(ring):
-                        seen = np.union1d(seen, ring)
-                        yield pd.DataFrame({"root": root, "node": ring, "depth": depth})
+                for depth, ring in enumerate(walker.rings(root, max_depth), 1):
+                    yield pd.DataFrame({"root": root, "node": walker.ids[ring], "depth": depth})
 
     return spread(roots.select(F.col("id").cast("long").alias("id")).distinct()).mapInPandas(walk, "root long, node long, depth int")
 
 
+def reach_counts(edges: DataFrame, roots: DataFrame, nodes: DataFrame | None = None, max_depth: int = 1000, max_sent: int = MAX_SENT_EDGES) -> DataFrame:
+    """GR01, GR02, GR06: (root, n) of the roots that reach anything; with ``nodes`` (id, module) also (known, modules, inside).
+
+    n is the number of reachable nodes, known those among ``nodes``, modules
+    how many modules these have, inside those of the root's own module.  Where
+    the adjacency is sent (see ``closure``) a root is counted where it is
+    searched, and no (root, node) row is made.
+    """
+    step = edges.select("src", "dst").distinct()
+    if step.limit(max_sent + 1).count() > max_sent or nodes is not None and nodes.limit(max_sent + 1).count() > max_sent:
+        reach = closure(edges, roots, max_depth, max_sent)
+        if nodes is None:
+            return reach.groupBy("root").agg(F.count("*").alias("n"))
+        far = reach.join(nodes.select(F.col("id").alias("node"), F.col("module").alias("m")), "node", "left").join(nodes.select(F.col("id").alias("root"), "module"), "root", "left")
+        return far.groupBy("root").agg(F.count("*").alias("n"), F.count("m").alias("known"), F.countDistinct("m").alias("modules"), F.count_if(F.col("m") == F.col("module")).alias("inside"))
+    sent = _sent(step)
+    named = None
+    if nodes is not None:
+        table = nodes.select(F.col("id").cast("long"), "module").distinct().toArrow().to_pandas().sort_values("id")
+        named = edges.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), pd.factorize(table["module"])[0].astype(np.int64)))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walker = _Walker(sent.value)
+        module = None
+        if named is not None:
+            ids, codes = named.value
+            place = np.minimum(np.searchsorted(ids, walker.ids), max(0, len(ids) - 1))
+            module = np.where(ids[place] == walker.ids, codes[place], -1) if len(ids) else np.full(len(walker.ids), -1)
+        for pdf in batches:
+            out = []
+            for root in pdf["id"]:
+                rings = list(walker.rings(root, max_depth))
+                if not rings:
+                    continue
+                reached = np.concatenate(rings)
+                if module is None:
+                    out.append((root, len(reached), 0, 0, 0))
+                else:
+                    found = module[reached]
+                    found = found[found >= 0]
+                    own = module[np.searchsorted(walker.ids, root)]
+                    out.append((root, len(reached), len(found), len(np.unique(found)), int((found == own).sum())))
+            yield pd.DataFrame(out, columns=["root", "n", "known", "modules", "inside"])
+
+    got = spread(roots.select(F.col("id").cast("long").alias("id")).distinct()).mapInPandas(walk, "root long, n long, known long, modules long, inside long")
+    return got if nodes is not None else got.select("root", "n")
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000, max_sent: int = MAX_SENT_EDGES, every: int = 4) -> DataFrame:
     """GR01: (root, node, depth): nodes reachable from each root by one step or more, with the fewest steps.
 
@@ -92,13 +164,12 @@ def module_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").groupBy("src_module", "dst_module").agg(F.count("*").alias("n"))
 
 
-def module_boundaries(reach: DataFrame, nodes: DataFrame) -> DataFrame:
-    """AGG09: (module, n_files, internal, external, cohesion) from reachable pairs (root, node); 1.0 without any."""
-    a, b = nodes.select(F.col("id").alias("root"), "module"), nodes.select(F.col("id").alias("node"), F.col("module").alias("other"))
-    pairs = reach.join(a, "root").join(b, "node")
-    counts = pairs.groupBy("module").agg(F.count_if(F.col("module") == F.col("other")).alias("internal"), F.count_if(F.col("module") != F.col("other")).alias("external"))
+def module_boundaries(counts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """AGG09: (module, n_files, internal, external, cohesion) from ``reach_counts`` over the nodes; 1.0 without any."""
+    pairs = counts.join(nodes.select(F.col("id").alias("root"), "module"), "root")
+    sums = pairs.groupBy("module").agg(F.sum("inside").alias("internal"), F.sum(F.col("known") - F.col("inside")).alias("external"))
     sizes = nodes.groupBy("module").agg(F.count("*").alias("n_files"))
-    out = sizes.join(counts, "module", "left").na.fill(0, ["internal", "external"])
+    out = sizes.join(sums, "module", "left").na.fill(0, ["internal", "external"])
     total = F.col("internal") + F.col("external")
     return out.withColumn("cohesion", F.round(F.when(total > 0, F.col("internal") / total).otherwise(1.0), 3))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running
+
 
 def entity_diff(before: DataFrame, after: DataFrame, keys: list[str], text: str) -> DataFrame:
     """JN32, JN35: (keys, change): ADD, REMOVE or MODIFY; equal entities do not come out."""
@@ -22,9 +24,9 @@ def conflicts(ours: DataFrame, theirs: DataFrame, keys: list[str], text: str) ->
 
 
 def overlapping(segments: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """JN34, WIN15: segments that begin before the greatest end before them."""
-    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    return segments.withColumn("_before", F.max(end).over(w)).filter(F.col(start) < F.col("_before")).drop("_before")
+    """JN34, WIN15: segments that begin before the greatest end before them, for groups of any size."""
+    out = running(segments, keys, [F.col(start), F.col(end)], F.col(end), "_reach", "max", inclusive=False)
+    return out.filter(F.col(start) < F.col("_reach")).drop("_reach")
 
 
 def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import scratch_path, spread
 from ..functions import scalar as S
+from .prefix import running
 
 K1, LENGTH_WEIGHT, RRF = 1.2, 0.75, 60
 
@@ -104,9 +105,8 @@ def greedy_fill(files: DataFrame, group: list[str], order: list[Column], tokens:
 
 
 def prefix_fill(files: DataFrame, group: list[str], order: list[Column], tokens: str, budget: int) -> DataFrame:
-    """WIN05: rows before the first one that overflows the budget, by a running sum."""
-    run = F.sum(tokens).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return files.withColumn("used", run).filter(F.col("used") <= budget)
+    """WIN05: rows before the first one that overflows the budget, by a running sum over groups of any size."""
+    return running(files, group, order, F.col(tokens), "used", "sum").filter(F.col("used") <= budget)
 
 
 def path_scores(files: DataFrame, group: list[str], path: str, words: DataFrame, word: str = "word") -> DataFrame:

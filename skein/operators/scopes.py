@@ -129,11 +129,23 @@ def covering_scope(files: DataFrame, path: str, scopes: DataFrame) -> DataFrame:
 def jaccard_dedup(sets: DataFrame, key: str, items: str, threshold: float = 0.7) -> DataFrame:
     """SET08: (key, kept): a set falls to a larger one (then the first by key) it overlaps by more than ``threshold``.
 
-    Sets meet by a shared item, not by all pairs.
+    Two sets above the threshold share one of the first items of each in order
+    of rarity, so only those prefixes are joined: a hot item is in a prefix
+    only where a set has hardly another.  Sizes that cannot reach the
+    threshold drop out, and the rest is compared whole.
     """
-    rows = sets.select(key, F.explode(F.array_distinct(items)).alias("_i"), F.size(F.array_distinct(items)).alias("_n"))
-    other = rows.select(F.col(key).alias("_k"), "_i", F.col("_n").alias("_m"))
-    pairs = rows.join(other, "_i").filter(F.col(key) != F.col("_k")).groupBy(key, "_k", "_n", "_m").agg(F.count("*").alias("_x"))
+    rows = sets.select(key, F.array_distinct(F.array_compact(items)).alias("_s")).filter("size(_s) > 0")
+    each = rows.select(key, F.explode("_s").alias("_i"))
+    often = each.groupBy("_i").agg(F.count("*").alias("_f"))
+    # By the length of a set, an overlap above t needs t of its items; all but the first n - ceil(t n) + 1 may be missing.
+    ranked = each.join(often, "_i").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_f", "_i"))).alias("_s"))
+    ranked = ranked.select(key, F.transform("_s", lambda x: x["_i"]).alias("_s"), F.size("_s").alias("_n"))
+    prefix = F.slice("_s", 1, (F.col("_n") - F.ceil(F.col("_n") * threshold - 1e-9) + 1).cast("int"))
+    heads = ranked.select(key, "_n", F.explode(prefix).alias("_i"))
+    other = heads.select(F.col(key).alias("_k"), F.col("_n").alias("_m"), "_i")
     bigger = (F.col("_m") > F.col("_n")) | ((F.col("_m") == F.col("_n")) & (F.col("_k") < F.col(key)))
-    fallen = pairs.filter((F.col("_x") / (F.col("_n") + F.col("_m") - F.col("_x")) > threshold) & bigger).select(key).distinct().withColumn("_f", F.lit(True))
+    pairs = heads.join(other, "_i").filter(bigger & (F.col("_n") > F.col("_m") * threshold)).select(key, "_k").distinct()
+    both = pairs.join(ranked.select(key, "_s"), key).join(ranked.select(F.col(key).alias("_k"), F.col("_s").alias("_t")), "_k")
+    shared = F.size(F.array_intersect("_s", "_t"))
+    fallen = both.filter(shared / (F.size("_s") + F.size("_t") - shared) > threshold).select(key).distinct().withColumn("_f", F.lit(True))
     return sets.select(key).distinct().join(fallen, key, "left").select(key, F.col("_f").isNull().alias("kept"))

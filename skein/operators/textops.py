@@ -20,15 +20,11 @@ def markdown_sections(df: DataFrame, key: str, text: str) -> DataFrame:
     Sections are cut inside each text by array functions, without a shuffle.
     """
     lines = F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n")
-    start = F.array(F.struct(F.lit("Introduction").alias("heading"), F.lit(0).cast("long").alias("n")))
-    last = lambda a: F.element_at(a, -1)
-    grown = F.aggregate(
-        lines, start, lambda a, x: F.when(x.startswith("#"), F.concat(a, F.array(F.struct(F.trim(F.regexp_replace(x, "^#+", "")).alias("heading"), F.lit(0).cast("long").alias("n"))))).otherwise(
-            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["heading"].alias("heading"), (last(a)["n"] + 1).alias("n"))))
-        )
-    )
-    out = df.select(key, F.posexplode(grown).alias("section", "s"))
-    return out.filter("s.n > 0").select(key, F.col("section").cast("long").alias("section"), F.col("s.heading").alias("heading"), F.col("s.n").alias("body_lines"))
+    numbered = df.select(key, lines.alias("_lines"), F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.startswith("#").alias("h"))).alias("_n"))
+    heads = numbered.select(key, "_lines", F.concat(F.array(F.lit(-1)), F.transform(F.filter("_n", lambda x: x["h"]), lambda x: x["i"])).alias("_at"))
+    ends = F.concat(F.slice("_at", 2, F.size("_at")), F.array(F.size("_lines")))
+    cut = heads.select(key, F.posexplode(F.zip_with("_at", ends, lambda a, b: F.struct(a.alias("i"), (b - a - 1).cast("long").alias("n"), F.when(a < 0, "Introduction").otherwise(F.trim(F.regexp_replace(F.get("_lines", a), "^#+", ""))).alias("heading")))).alias("section", "s"))
+    return cut.filter("s.n > 0").select(key, F.col("section").cast("long").alias("section"), F.col("s.heading").alias("heading"), F.col("s.n").alias("body_lines"))
 
 
 def signal_comments(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -159,7 +159,7 @@ def _(s, d):
 def _(s, d):
     e, n = B.edges(s, d), B.nodes(s, d)
     hubs = G.hubs(e, n, skip=())
-    blast = G.closure(G.reversed_edges(e), hubs.select("id")).groupBy(F.col("root").alias("id")).agg((F.count("*") + 1).alias("blast"))
+    blast = G.reach_counts(G.reversed_edges(e), hubs.select("id")).select(F.col("root").alias("id"), (F.col("n") + 1).alias("blast"))
     return hubs.join(blast, "id").select("id", "importers", "modules", "blast")
 
 

@@ -114,18 +114,18 @@ def _(s, d):
 
 @q("GR01_dependencies", "WITH RECURSIVE r(root, node) AS (SELECT src, dst FROM edges UNION SELECT r.root, e.dst FROM r JOIN edges e ON e.src = r.node) SELECT root, count(*) AS n FROM r GROUP BY root", "edges")
 def _(s, d):
-    return G.closure(B.edges(s, d), B.nodes(s, d)).groupBy("root").agg(F.count("*").alias("n"))
+    return G.reach_counts(B.edges(s, d), B.nodes(s, d))
 
 
 @q("GR02_dependents", "WITH RECURSIVE r(root, node) AS (SELECT dst, src FROM edges UNION SELECT r.root, e.src FROM r JOIN edges e ON e.dst = r.node) SELECT root, count(*) AS n FROM r GROUP BY root", "edges")
 def _(s, d):
-    return G.closure(G.reversed_edges(B.edges(s, d)), B.nodes(s, d)).groupBy("root").agg(F.count("*").alias("n"))
+    return G.reach_counts(G.reversed_edges(B.edges(s, d)), B.nodes(s, d))
 
 
 @q("GR06_impact", "WITH RECURSIVE r(root, node) AS (SELECT dst, src FROM edges UNION SELECT r.root, e.src FROM r JOIN edges e ON e.dst = r.node) SELECT root, count(*) AS n, count(DISTINCT module) AS modules, CASE WHEN count(*) <= 3 THEN 'LOW' WHEN count(*) <= 10 THEN 'MEDIUM' ELSE 'HIGH' END AS risk FROM r JOIN nodes ON id = node GROUP BY root", "edges", "nodes")
 def _(s, d):
-    reach = G.closure(G.reversed_edges(B.edges(s, d)), B.nodes(s, d))
-    out = reach.join(B.nodes(s, d), F.col("node") == F.col("id")).groupBy("root").agg(F.count("*").alias("n"), F.countDistinct("module").alias("modules"))
+    n = B.nodes(s, d)
+    out = G.reach_counts(G.reversed_edges(B.edges(s, d)), n, n).select("root", F.col("known").alias("n"), "modules")
     return out.withColumn("risk", S.risk("n"))
 
 
@@ -146,7 +146,7 @@ def _(s, d):
 @q("AGG09_boundaries", "WITH RECURSIVE r(root, node) AS (SELECT src, dst FROM edges UNION SELECT r.root, e.dst FROM r JOIN edges e ON e.src = r.node), k AS (SELECT a.module, sum(CASE WHEN a.module = b.module THEN 1 ELSE 0 END)::BIGINT AS internal, sum(CASE WHEN a.module <> b.module THEN 1 ELSE 0 END)::BIGINT AS external FROM r JOIN nodes a ON a.id = root JOIN nodes b ON b.id = node GROUP BY a.module), z AS (SELECT module, count(*) AS n_files FROM nodes GROUP BY module) SELECT module, n_files, coalesce(internal, 0) AS internal, coalesce(external, 0) AS external, round(CASE WHEN coalesce(internal + external, 0) > 0 THEN internal / (internal + external) ELSE 1.0 END, 3) AS cohesion FROM z LEFT JOIN k USING (module)", "edges", "nodes")
 def _(s, d):
     n = B.nodes(s, d)
-    return G.module_boundaries(G.closure(B.edges(s, d), n), n)
+    return G.module_boundaries(G.reach_counts(B.edges(s, d), n, n), n)
 
 
 @q("AGG10_hubs", "SELECT dst AS id, count(*) AS importers, count(DISTINCT a.module) AS modules FROM edges JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE lower(b.module) NOT IN ('utils', 'helpers', 'common', 'shared', 'lib', 'core') GROUP BY dst HAVING count(*) >= 3 AND count(DISTINCT a.module) >= 2", "edges", "nodes")

@@ -261,11 +261,11 @@ def _(s, d):
     return f.join(n, "ext").select("ext", "import", "n", F.round(F.col("n") / F.col("files"), 6).alias("share"))
 
 
-@q("AGG40_centroid", "WITH k AS (SELECT split_part(path, '.', -1) AS ext, split_part(path, '/', 1) AS dir, count(*) AS n FROM files GROUP BY ALL) SELECT ext, max_by(dir, n * 1000 - ascii(dir)) AS dir, round(max(n) / sum(n), 6) AS share, max(n) / sum(n) >= 0.8 AS dominant FROM k GROUP BY ext", "files")
+@q("AGG40_centroid", "WITH k AS (SELECT split_part(path, '.', -1) AS ext, split_part(path, '/', 1) AS dir, count(*) AS n FROM files GROUP BY ALL) SELECT ext, first(dir ORDER BY n DESC, dir) AS dir, round(max(n) / sum(n), 6) AS share, max(n) / sum(n) >= 0.8 AS dominant FROM k GROUP BY ext", "files")
 def _(s, d):
     k = B.paths(s, d).groupBy(F.substring_index("path", ".", -1).alias("ext"), F.substring_index("path", "/", 1).alias("dir")).agg(F.count("*").alias("n"))
     share = F.max("n") / F.sum("n")
-    return k.groupBy("ext").agg(F.max_by("dir", F.col("n") * 1000 - F.ascii("dir")).alias("dir"), F.round(share, 6).alias("share"), (share >= 0.8).alias("dominant"))
+    return k.groupBy("ext").agg(F.min_by("dir", F.struct((-F.col("n")).alias("n"), "dir")).alias("dir"), F.round(share, 6).alias("share"), (share >= 0.8).alias("dominant"))
 
 
 @q("AGG45_session_totals", "SELECT repo, count(*) AS sessions, sum(coalesce(len(predicted_files), 0))::BIGINT AS files, count(DISTINCT scope_expr) AS scopes FROM sessions WHERE repo IS NOT NULL GROUP BY repo", "sessions")
