@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -263,3 +265,14 @@ def task_text(message, files) -> Column:
     """FN58: the message, or the first three directories touched."""
     dirs = F.array_sort(F.array_distinct(F.transform(files, lambda f: F.coalesce(top_module(f), F.lit("root")))))
     return F.when(F.trim(_c(message)) != "", F.trim(_c(message))).otherwise(F.concat(F.lit("Modify "), F.array_join(F.slice(dirs, 1, 3), ", ")))
+
+
+def section_text(sections, name: str) -> Column:
+    """FN23: the text of a section by its name, whatever the case of either; null if there is none."""
+    low = F.transform_keys(_c(sections), lambda k, v: F.lower(F.trim(k)))
+    return F.try_element_at(low, F.lit(name.strip().lower()))
+
+
+def billed_input(fresh, written, read) -> Column:
+    """FN46: input tokens that are billed: fresh ones, those written to the cache and those read from it; a null counts as 0."""
+    return reduce(lambda a, b: a + b, [F.coalesce(_c(x), F.lit(0)) for x in (fresh, written, read)])

@@ -123,3 +123,12 @@ def keep_recent(rows: DataFrame, at: str, as_of: float, days: int = 90) -> DataF
 def keep_last(rows: DataFrame, order: list[Column], n: int = 100) -> DataFrame:
     """SNK04: the last n rows, by a distributed top-n."""
     return rows.orderBy(*order).limit(n)
+
+
+def stale_scopes(changed: DataFrame, refreshed: DataFrame, keys: list[str], as_of: float, tolerance_s: float = 86_400, quiet_s: float = 604_800) -> DataFrame:
+    """JN45: (keys, stale): changed later than refreshed, beyond a tolerance; a scope refreshed within the quiet time is not told again.
+
+    ``changed`` has the keys and changed, ``refreshed`` the keys and refreshed, both in epoch seconds.
+    """
+    late = F.col("changed") > F.col("refreshed") + tolerance_s
+    return changed.join(refreshed, keys).select(*keys, (late & (F.col("refreshed") < as_of - quiet_s)).alias("stale"))

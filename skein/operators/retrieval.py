@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..common import scratch_path, spread
+from ..common import parts_for, scratch_path, spread
 from ..functions import scalar as S
 from .prefix import running
 
@@ -16,8 +16,9 @@ K1, LENGTH_WEIGHT, RRF = 1.2, 0.75, 60
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """AGG16: (key, term, tf, dl); one shuffle on (key, term) with map-side combine."""
-    tokens = S.search_tokens(text)
-    rows = docs.filter(F.col(text).isNotNull()).select(key, F.size(tokens).cast("long").alias("dl"), F.explode(tokens).alias("term"))
+    # Cut once, before the terms unfold; else every term of a text would cut it again for its length.
+    cut = spread(docs.filter(F.col(text).isNotNull()).select(key, text)).select(key, S.search_tokens(text).alias("_t")).select(key, F.size("_t").cast("long").alias("dl"), "_t")
+    rows = cut.select(key, "dl", F.explode("_t").alias("term"))
     return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -132,3 +133,56 @@ def rank_files(files: DataFrame, path: str, tokens: str, bm25: str, ratio: str,
     score = score * F.when(F.col(bm25) > 0, 1 + F.least(F.col(bm25), F.lit(3.0))).otherwise(1.0)
     score = score * F.when((F.col(tokens) > 0) & (F.col(tokens) < 200), 1.2).when(F.col(tokens) > 2000, 0.8).otherwise(1.0)
     return files.withColumn("score", F.round(S.effective_score(score, ratio, resolves, touched_age_days, True), 6))
+
+
+def build_index(docs: DataFrame, key: str, text: str, root: str, vectors: DataFrame | None = None, version: str = "1") -> None:
+    """VEC04: write a search index: postings clustered by term, lengths, totals, vectors, and last of all its description.
+
+    Every document is indexed; a query reads only the row groups of its terms.
+    """
+    posts = postings(docs, key, text)
+    posts.repartition(parts_for(posts), "term").sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{root}/postings")
+    rows = spread(docs.filter(F.col(text).isNotNull()).select(key, text)).select(F.size(S.search_tokens(text)).cast("long").alias("dl"))
+    totals = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
+    totals.withColumn("version", F.lit(version)).coalesce(1).write.mode("overwrite").parquet(f"{root}/totals")
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{root}/vectors")
+
+
+def search_index(spark, root: str, key: str, query: str, top: int | None = 50) -> DataFrame:
+    """VEC04, SRC22: (key, score) by the written index, equal to ``bm25`` over the documents."""
+    import re
+
+    terms: dict[str, int] = {}
+    for t in re.findall("[a-z_][a-z0-9_]*", query.lower()):
+        if len(t) > 1:
+            terms[t] = terms.get(t, 0) + 1
+    totals = spark.read.parquet(f"{root}/totals").first()
+    n, average = totals["n"] or 0, (totals["dl"] or 0) / (totals["n"] or 1)
+    hits = spark.read.parquet(f"{root}/postings").filter(F.col("term").isin(sorted(terms)))
+    # One row a term of the query.
+    found = {r["term"]: r["d"] for r in hits.groupBy("term").agg(F.count("*").alias("d")).collect()}
+    weight: Column = F.lit(0.0)
+    for t, d in sorted(found.items()):
+        weight = F.when(F.col("term") == t, F.lit(terms[t] * math.log((n - d + 0.5) / (d + 0.5) + 1))).otherwise(weight)
+    part = weight * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - LENGTH_WEIGHT + LENGTH_WEIGHT * F.col("dl") / (average or 1.0)))
+    out = hits.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+    return out.orderBy(F.desc("score"), key).limit(top) if top else out
+
+
+def search(sparse: DataFrame, dense: DataFrame, docs: DataFrame, near: list[DataFrame], key: str, budget: int, hits: int = 20, per_hit: int = 8) -> DataFrame:
+    """VEC06: (key, score, tokens, used): both sides fused, the fused hits with what stands next to them, as far as the budget goes.
+
+    ``docs`` has key, tokens, stability and age_days, ``near`` tables of (hit, file,
+    weight) in order of precedence.  Scores are lowered by age; neighbours
+    come after all hits.
+    """
+    from .context import expand_hits
+
+    fused = rrf(dense, sparse, key, hits).join(docs.select(key, "tokens", "stability", "age_days"), key)
+    fused = fused.withColumn("score", F.round(F.col("score") * S.recency_factor("stability", "age_days"), 9))
+    ranked = fused.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # at most ``hits`` rows
+    one = ranked.select(F.lit(0).alias("query"), F.col(key).alias("hit"), "rank")
+    beside = expand_hits(one, near, per_hit).select(F.col("file").alias(key)).distinct().join(docs.select(key, "tokens"), key).select(key, F.lit(0.0).alias("score"), "tokens", F.lit(1).alias("_side"))
+    rows = ranked.select(key, "score", "tokens", F.lit(0).alias("_side")).unionByName(beside)
+    return prefix_fill(rows.withColumn("_all", F.lit(0)), ["_all"], [F.col("_side"), F.desc("score"), F.col(key)], "tokens", budget).select(key, "score", "tokens", "used")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import context_plans, feedback_plans, history_plans, more_plans, problems, scalar_plans, search_plans
+from .plans import context_plans, feedback_plans, history_plans, more_plans, pipeline_plans, problems, scalar_plans, search_plans
 
-_MODULES = [problems, scalar_plans, history_plans, search_plans, feedback_plans, more_plans, context_plans]
+_MODULES = [problems, scalar_plans, history_plans, search_plans, feedback_plans, more_plans, context_plans, pipeline_plans]
 
 
 def core_queries() -> dict:

@@ -93,3 +93,60 @@ def scopes_frame(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
         lists = [d.get(k) if isinstance(d.get(k), list) else [d[k]] if d.get(k) else [] for k in ("includes", "excludes", "tags")]
         rows.append((path, d.get("description", ""), *lists, d.get("context", "")))
     return spark.createDataFrame(rows, "path string, description string, includes array<string>, excludes array<string>, tags array<string>, context string")
+
+
+def parse_items(text: str, section: str) -> list[dict]:
+    """SRC26: the list of maps below ``section:``; values are scalars, ``[a, b]`` lists or block lists of scalars."""
+    lines = text.splitlines()
+    at = next((i for i, line in enumerate(lines) if re.match(rf"^{re.escape(section)}\s*:\s*$", _uncommented(line))), None)
+    out: list[dict] = []
+    key = None
+    for line in lines[at + 1 :] if at is not None else []:
+        bare = _uncommented(line)
+        if not bare.strip():
+            continue
+        if bare[0] not in " \t-":
+            break
+        inner = bare.strip()
+        m = re.match(r"^(-\s+)?([\w.-]+)\s*:\s*(.*)$", inner)
+        if m and m[1] or not out:
+            out.append({})
+        if m:
+            key, value = m[2], m[3].strip()
+            listed = value.startswith("[") and value.endswith("]")
+            out[-1][key] = [_scalar(x) for x in re.findall(r"\"[^\"]*\"|'[^']*'|[^,\[\]]+", value) if x.strip()] if listed else _scalar(value) if value else []
+        elif inner.startswith("-") and key is not None:
+            held = out[-1].get(key)
+            out[-1][key] = [*(held if isinstance(held, list) else [held]), _scalar(inner[1:])]
+    return [x for x in out if x]
+
+
+def _texts(value) -> list[str]:
+    return [str(v) for v in value] if isinstance(value, list) else [str(value)] if value not in (None, "") else []
+
+
+def intents_frame(spark: SparkSession, text: str) -> DataFrame:
+    """SRC26: the intents of a rule file as (directive, modules, files, target, reason)."""
+    rows = [(d.get("directive", ""), _texts(d.get("modules")), _texts(d.get("files")), d.get("target"), d.get("reason")) for d in parse_items(text, "intents")]
+    return spark.createDataFrame(rows, "directive string, modules array<string>, files array<string>, target string, reason string")
+
+
+def conventions_frame(spark: SparkSession, text: str) -> DataFrame:
+    """SRC26: the conventions of a rule file as (name, criteria, rules), criteria and rules as maps of texts."""
+    rows = [(d.get("name", ""), *({k[len(p) :]: ",".join(_texts(v)) for k, v in d.items() if k.startswith(p)} for p in ("match_", "rule_"))) for d in parse_items(text, "conventions")]
+    return spark.createDataFrame(rows, "name string, criteria map<string,string>, rules map<string,string>")
+
+
+def voice_config(text: str) -> dict[str, str]:
+    """SRC26: the voice settings of a rule file."""
+    found = parse_yaml(text).get("voice", {})
+    return {k: v for k, v in found.items()} if isinstance(found, dict) else {}
+
+
+def assertions_frame(spark: SparkSession, text: str) -> DataFrame:
+    """SRC26: the assertions of a rule file as (scope, includes, contains, constraints, reason); scope * holds everywhere."""
+    rows = [
+        (d.get("scope", "*"), _texts(d.get("ensure_includes")), _texts(d.get("ensure_context_contains")), str(d.get("ensure_constraints", "")).lower() == "true", d.get("reason"))
+        for d in parse_items(text, "assertions")
+    ]
+    return spark.createDataFrame(rows, "scope string, includes array<string>, contains array<string>, constraints boolean, reason string")

@@ -32,6 +32,13 @@ def write_caches(root: str, tables: dict[str, DataFrame]) -> None:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def read_caches(spark: SparkSession, root: str, names: list[str]) -> dict[str, DataFrame]:
+    """SRC21-23: the named derived tables; one that was never written is left out."""
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")
+    conf = spark._jsc.hadoopConfiguration()
+    return {name: spark.read.parquet(f"{root}/{name}") for name in names if path(name).getFileSystem(conf).exists(path(name))}
+
+
 def upsert(state: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """SNK13, STR08: rows of ``updates`` replace those of ``state`` by key."""
     return state.join(updates.select(*keys), keys, "left_anti").unionByName(updates)

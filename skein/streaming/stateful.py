@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -142,3 +143,36 @@ def coalesced_jobs(jobs: DataFrame, seq: str, repo: str, scope: str) -> DataFram
     whole = jobs.filter(F.col(scope).isNull()).groupBy(repo).agg(F.min(seq).alias(seq)).withColumn(scope, F.lit(None).cast("string"))
     single = jobs.filter(F.col(scope).isNotNull()).join(whole.select(repo), repo, "left_anti").groupBy(repo, scope).agg(F.min(seq).alias(seq))
     return whole.select(seq, repo, scope).unionByName(single.select(seq, repo, scope))
+
+
+def wait_for_refresh(pending: Callable[[], bool], timeout_s: float = 1.0, poll_s: float = 0.05, heal: Callable[[], None] | None = None) -> str:
+    """STR09: wait on the driver until nothing is pending, within a budget: fresh, healed after ``heal`` ran, or stale.
+
+    A check that fails counts as pending; ``heal`` is called once, when the
+    budget is used up, and has half of it again to take effect.
+    """
+
+    def settled(budget: float) -> bool:
+        until = time.monotonic() + budget
+        while True:
+            try:
+                if not pending():
+                    return True
+            except Exception:  # the state cannot be read just now
+                pass
+            if time.monotonic() >= until:
+                return False
+            time.sleep(min(poll_s, max(0.0, until - time.monotonic())))
+
+    if settled(timeout_s):
+        return "fresh"
+    if heal is not None:
+        heal()
+        if settled(timeout_s / 2):
+            return "healed"
+    return "stale"
+
+
+def pending_jobs(jobs: DataFrame, repo: str) -> Callable[[], bool]:
+    """STR09: is a job of the repo pending or running?  ``jobs`` has repo and state, and is read anew each time."""
+    return lambda: not jobs.filter((F.col("repo") == repo) & F.col("state").isin("pending", "running")).isEmpty()
