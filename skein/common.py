@@ -86,9 +86,21 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+#: Sizes from here on are the optimizer's word for not knowing one.
+_UNKNOWN = 1 << 55
+
+
 def size_in_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a table's size; for a scan, its files scaled to the columns read."""
-    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+    """An estimate of a table's size, 0 if there is none.
+
+    Of one scan, its files scaled to the columns read; of several, the sum of
+    the scans, since the estimate of a join is the product of its sides.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    nodes = [plan] if leaves.size() == 1 else [leaves.apply(i) for i in range(leaves.size())]
+    sizes = [int(str(n.stats().sizeInBytes())) for n in nodes]
+    return sum(n for n in sizes if n < _UNKNOWN)
 
 
 def parts_for(df: DataFrame, part_bytes: int = 128 << 20, most: int = 100_000) -> int:

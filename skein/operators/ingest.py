@@ -281,7 +281,7 @@ def gates(candidate: DataFrame, baseline: DataFrame, timings: DataFrame, group:
         gate("stability", F.lit(float(crashes)), zero, F.lit(crashes == 0)), gate("resolve_latency", F.col("resolve"), F.lit(float(resolve_ms)), F.col("resolve") <= resolve_ms),
         gate("check_latency", F.col("check"), F.lit(float(check_ms)), F.col("check") <= check_ms), gate("no_worktree_churn", F.lit(float(scope_writes)), zero, F.lit(scope_writes == 0)),
     )
-    return rows.join(F.broadcast(took)).select(group, F.explode(each).alias("g")).select(group, "g.*")
+    return rows.join(F.broadcast(took)).select(group, F.explode(each).alias("_gate")).select(group, "_gate.*")
 
 
 def fitness(passed: DataFrame, scores: DataFrame, group: str) -> DataFrame:

@@ -39,6 +39,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, top: int | None = 50)
         if len(t) > 1:
             terms[t] = terms.get(t, 0) + 1
     names = sorted(terms)
+    if not names:  # nothing is asked for, so nothing is read, and nothing would be observed
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
     rows = spread(docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_x")))
     # Two projections, so that the tokens are cut once and only query terms are counted.
     rows = rows.select("_key", S.search_tokens("_x").alias("_t")).select("_key", F.size("_t").alias("_dl"), F.filter("_t", lambda w: w.isin(names)).alias("_t"))

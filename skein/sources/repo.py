@@ -21,10 +21,52 @@ PRUNED = (".git/", "node_modules/", "vendor/", "target/", "dist/", "build/", "__
 WATCHED = ("py", "ts", "js", "rs", "go")
 
 
+def _system(root: str):
+    """The file system of a root and the root's path in it."""
+    from pyarrow import fs
+
+    uri = re.sub(r"^s3[an]:", "s3:", root)
+    return fs.FileSystem.from_uri(uri if re.match(r"^[a-z][a-z0-9+.-]*:", uri) else "file://" + uri)
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, modified): all files under a root, hidden ones and those of a leading underscore too, path relative to it.
+
+    Spark's own listing passes over both kinds, and so over every ``__init__.py``.
+    """
+    from pyarrow import fs
+
+    system, inner = _system(root)
+    found = system.get_file_info(fs.FileSelector(inner, recursive=True))
+    rows = [(f.path[len(inner) :].lstrip("/"), f.size, f.mtime) for f in found if f.is_file]
+    return spark.createDataFrame(rows, "path string, length long, modified timestamp")
+
+
+def _with_content(df: DataFrame, root: str) -> DataFrame:
+    """Listed files with their bytes, read where the rows are."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        system, inner = _system(root)
+        for batch in batches:
+            data = []
+            for path in batch.column(0).to_pylist():
+                with system.open_input_stream(f"{inner}/{path}") as f:
+                    data.append(f.read())
+                if sum(map(len, data)) > 64 << 20:  # no batch holds many long files
+                    yield pa.RecordBatch.from_arrays([*(c.slice(0, len(data)) for c in batch.columns), pa.array(data, pa.binary())], ["path", "length", "modified", "content"])
+                    batch, data = batch.slice(len(data)), []
+            if data:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], ["path", "length", "modified", "content"])
+
+    return df.select("path", "length", "modified").mapInArrow(read, "path string, length long, modified timestamp, content binary")
+
+
 def walk(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """SRC01, SRC19: (path, length, modified, content) of the files under a directory; contents are read only if used."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.select("path", "length", F.col("modificationTime").alias("modified"), "content")
+    """SRC01, SRC19: (path, length, modified, content) of the files under a directory whose name fits, path relative to it."""
+    named = _listed(spark, root).filter(F.substring_index("path", "/", -1).rlike(glob_regex(pattern)))
+    return _with_content(named, root)
 
 
 def ignore_rules(directory: str, text: str) -> list[tuple[str, bool, bool]]:
@@ -41,8 +83,10 @@ def ignore_rules(directory: str, text: str) -> list[tuple[str, bool, bool]]:
         if not line:
             continue
         rx = ""
-        for part in re.findall(r"\*\*/|/\*\*|\*+|\?|\[[!^]?\]?[^\]]*\]|[^*?\[/]+|/|\[", line):
-            if part == "**/":
+        for part in re.findall(r"/\*\*/|\*\*/|/\*\*|\*+|\?|\[[!^]?\]?[^\]]*\]|[^*?\[/]+|/|\[", line):
+            if part == "/**/":
+                rx += "/(?:.*/)?"
+            elif part == "**/":
                 rx += "(?:.*/)?"
             elif part == "/**":
                 rx += "/.*"
@@ -81,15 +125,14 @@ def walk_repository(spark: SparkSession, root: str, below: str = "", prune: tupl
     they are few and read first.  Names are judged before a content is read.
     ``below`` keeps one directory and what is under it.
     """
-    here = root.rstrip("/")
-    local = lambda c: F.regexp_replace(F.regexp_replace(c, "^[a-z]+:/+", "/"), "^" + re.escape(re.sub("^[a-z]+:/+", "/", here)) + "/+", "")
-    found = walk(spark, here).withColumn("path", local(F.col("path")))
-    files = walk(spark, here, ".gitignore").select(local(F.col("path")).alias("path"), F.col("content").cast("string").alias("text")).collect()
+    found = _listed(spark, root)
+    files = _with_content(found.filter(F.substring_index("path", "/", -1) == ".gitignore"), root).select("path", F.col("content").cast("string").alias("text")).collect()
     rules = [r for p in prune for r in ignore_rules("", p)]
     for f in sorted(files, key=lambda f: (f["path"].count("/"), f["path"])):
         rules += ignore_rules(f["path"].rpartition("/")[0], f["text"])
     out = found.filter(~ignored(F.col("path"), rules))
-    return out.filter(F.col("path").startswith(below.rstrip("/") + "/")) if below else out
+    out = out.filter(F.col("path").startswith(below.rstrip("/") + "/")) if below else out
+    return _with_content(out, root)
 
 
 def watch(spark: SparkSession, root: str, extensions: tuple[str, ...] = WATCHED) -> DataFrame:

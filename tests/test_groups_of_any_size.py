@@ -108,3 +108,15 @@ def test_pattern_classes():
 
     for pattern, yes, no in (("[ab]*.py", "a.py", "c.py"), ("x[!0-9].c", "xa.c", "x1.c"), ("[]]", "]", "["), ("a[", "a[", "a"), ("[^z]", "a", "z"), ("[a&&b]", "&", "c")):
         assert re.match(glob_regex(pattern), yes) and not re.match(glob_regex(pattern), no), pattern
+
+
+def test_unknown_sizes_and_joins_do_not_ask_for_partitions(spark, tmp_path):
+    from skein.common import parts_for, shuffle_parts
+
+    df = spark.createDataFrame([(i, "x" * 50) for i in range(500)], "i int, s string")
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    joined = read.join(read.withColumnRenamed("s", "t"), "i").join(df, "i")
+    for x in (df, read, joined, joined.checkpoint(), df.limit(0), read.groupBy("s").count()):
+        assert parts_for(x) == shuffle_parts(spark)
+    assert parts_for(read, part_bytes=64) > 10
