@@ -25,14 +25,14 @@ byte for byte.
 Restoring repeats until nothing more is found, so text garbled any number of
 times comes back.  It ends, as each round makes a line shorter, or leaves it
 as long and more of its letters standing well.
-The surroundings are learned from a fixed table of clean sentences.
+The surroundings are learned from all of a table of clean sentences.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -102,22 +102,28 @@ def garbled_sequences() -> dict[str, list[tuple[str, str, str]]]:
     return out
 
 
+def _facts(text: str) -> tuple[set[str], set[str], set[str]]:
+    """What one clean text tells: neighbours of letters, known kanji, and words with a letter beyond ASCII."""
+    near: set[str] = set()
+    words = {w for w in re.findall(r"[^\W\d_]+", text.lower()) if not w.isascii()}
+    low = "^" + re.sub(r"[^\w]|\d|_", "^", text.lower()) + "^"
+    for i in range(1, len(low) - 1):
+        if low[i] > "\x7f":
+            near.add(low[i - 1 : i + 2])
+            near.add(low[i - 1 : i + 1])
+            near.add(low[i : i + 2] + ">")
+    return near, {c for c in text if "㐀" <= c <= "鿿"}, words
+
+
 class Knowledge:
     """Which letters stand next to which in clean text, and where signs may stand."""
 
-    def __init__(self, clean: list[str]):
-        self.near: set[str] = set()
-        self.kanji: set[str] = set()
-        self.words: set[str] = set()
+    def __init__(self, clean: Iterable[str], facts: Iterable[Iterable[str]] = ((), (), ())):
+        """From clean texts, and from the facts that others told."""
+        self.near, self.kanji, self.words = map(set, facts)
         for text in [*clean, LOANS]:
-            self.words.update(w for w in re.findall(r"[^\W\d_]+", text.lower()) if not w.isascii())
-            low = "^" + re.sub(r"[^\w]|\d|_", "^", text.lower()) + "^"
-            for i in range(1, len(low) - 1):
-                if low[i] > "\x7f":
-                    self.near.add(low[i - 1 : i + 2])
-                    self.near.add(low[i - 1 : i + 1])
-                    self.near.add(low[i : i + 2] + ">")
-            self.kanji.update(c for c in text if "㐀" <= c <= "鿿")
+            for mine, told in zip((self.near, self.kanji, self.words), _facts(text)):
+                mine |= told
 
     def fits(self, line: str, i: int) -> bool:
         c = line[i]
@@ -248,10 +254,10 @@ def _scripts(text: str) -> set[bool]:
 
 
 class Mender:
-    def __init__(self, clean: list[str]):
+    def __init__(self, clean: Iterable[str], facts: Iterable[Iterable[str]] = ((), (), ())):
         import ahocorasick
 
-        self.know = Knowledge(clean)
+        self.know = Knowledge(clean, facts)
         self.sequences = garbled_sequences()
         self.automaton = ahocorasick.Automaton()
         for s, meanings in self.sequences.items():
@@ -634,8 +640,8 @@ class Mender:
 
 
 @lru_cache(maxsize=1)
-def _packed(clean: tuple[str, ...]) -> bytes:
-    return pickle.dumps(Mender(list(clean)))
+def _packed(facts: tuple[tuple[str, ...], ...]) -> bytes:
+    return pickle.dumps(Mender((), facts))
 
 
 @lru_cache(maxsize=1)
@@ -643,19 +649,36 @@ def _unpacked(packed: bytes) -> Mender:
     return pickle.loads(packed)
 
 
-def find_garbled(df: DataFrame, key: str, text: str, clean: DataFrame, clean_text: str, at: str | None = "recorded_at", max_clean_rows: int = 10_000, restore: bool = True) -> DataFrame:
+def _told(clean: DataFrame, clean_text: str) -> tuple[tuple[str, ...], ...]:
+    """The facts of all clean texts, learned in the tasks; of these the distinct ones come to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [set().union(*kind) for kind in zip(((), (), ()), *map(_facts, batch.column(0).to_pylist()))]
+            kinds = [i for i, kind in enumerate(told) for _ in kind]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, type=pa.int32()), pa.array([x for kind in told for x in kind], type=pa.string())], ["kind", "fact"])
+
+    texts = clean.select(F.col(f"`{clean_text}`").cast("string")).dropna()
+    facts = texts.mapInArrow(learn, "kind int, fact string").distinct().toArrow()
+    out: tuple[list[str], ...] = ([], [], [])
+    for kind, fact in zip(facts["kind"].to_pylist(), facts["fact"].to_pylist()):
+        out[kind].append(fact)
+    return tuple(tuple(sorted(kind)) for kind in out)
+
+
+def find_garbled(df: DataFrame, key: str, text: str, clean: DataFrame, clean_text: str, at: str | None = "recorded_at", restore: bool = True) -> DataFrame:
     """(key, garbled, restored, complete) per key.
 
     restored is the text after restoring (the text itself where nothing was
     found), complete says whether no trace is left.  A null text gives
     garbled = false and a null restored; an empty one stays empty.  Of rows
     with one key the latest ``at`` counts.  Without ``restore`` that column is
-    left out, and no text is shuffled.  ``clean`` is a fixed table of clean
-    sentences; at most ``max_clean_rows`` of it are read, in order of the text.
+    left out, and no text is shuffled.  ``clean`` is a table of clean
+    sentences; all of it is learned from, and what is kept grows with its
+    alphabets and its distinct words with letters beyond ASCII.
     """
-    known = tuple(r[0] for r in clean.select(F.col(f"`{clean_text}`").cast("string")).dropna().orderBy(clean_text).limit(max_clean_rows).collect())
-    # Some megabytes of automata, whose size depends on the alphabets and the clean sentences alone, built once.
-    sent = df.sparkSession.sparkContext.broadcast(_packed(known))
+    # Some megabytes of automata, whose size depends on the alphabets and the facts alone, built once.
+    sent = df.sparkSession.sparkContext.broadcast(_packed(_told(clean, clean_text)))
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), (F.col(f"`{at}`") if at else F.lit(None)).cast("timestamp").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
