@@ -5,7 +5,7 @@ import random
 import pytest
 
 from skein.operators import graph as G
-from skein.registry import core_queries
+from skein.registry import core_queries, core_sql
 
 FILES = "file_id long, repo string, path string, language string, content string, imports array<string>, recorded_at timestamp"
 
@@ -55,3 +55,14 @@ def test_long_chain_and_cycle(spark, every):
     far = {(f"m{i}", f"m{j}") for i in range(9) for j in range(i + 2, 10)}
     assert got == far | {("y", "m9")} | {("z", f"m{j}") for j in range(2, 10)}
     assert G.deep_modules(spark.createDataFrame(chain, "module string, via string, next string").limit(0), every).count() == 0
+
+
+def test_query_gives_more_than_five(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(i, "r", f"m{i}/v{i}/x.ts", None, None, [f"import x from './v{i + 1}'"], None) for i in range(9)]
+    spark.createDataFrame(rows, FILES).write.parquet(str(tmp_path / "file_analyses.parquet"))
+    got = {tuple(r) for r in core_queries()["GR08_deep_dependencies"](spark, str(tmp_path)).collect()}
+    assert got == {(f"r/m{i}", f"r/m{j}") for i in range(9) for j in range(i + 2, 9)} and sum(m == "r/m0" for m, _ in got) == 7
+    con = duckdb.connect()
+    con.execute(f"create view file_analyses as select *, null as exports, null as node_count, null as docstring, null as is_entry_point from '{tmp_path}/file_analyses.parquet/*.parquet'")
+    assert got == set(con.sql(core_sql()["GR08_deep_dependencies"]).fetchall())
